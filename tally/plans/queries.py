@@ -36,8 +36,18 @@ ADJUSTMENT_ACCOUNTS = ("Write Off", "Round-Off")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_TABLES: dict[tuple[int, str], tuple[SparkSession, ErpTables]] = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> ErpTables:
-    return erp_tables(tune(spark), sf_dir)
+    """The derived table set of ``sf_dir``, built lazily and kept per session,
+    so a run of many reports lists and analyses each source once."""
+    key = (id(spark), sf_dir)
+    hit = _TABLES.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, erp_tables(tune(spark), sf_dir))
+        _TABLES[key] = hit
+    return hit[1]
 
 
 def _ledger(**kw) -> LedgerParams:

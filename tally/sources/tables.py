@@ -2,13 +2,14 @@
 
 A report takes an :class:`ErpTables` and returns a lazy DataFrame.  Tables can
 come from parquet folders, from the catalog, or from frames the caller made;
-every one is conformed to its fixed schema (``schemas.SCHEMAS``) on the way in.
+every one is conformed to its fixed schema (``schemas.SCHEMAS``) on first
+use.  Tables are built on first access only, so a report that reads two
+tables never lists, reads footers of or analyses the other nine.
 """
 
 from __future__ import annotations
 
-import dataclasses
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,60 +29,72 @@ TABLES: tuple[str, ...] = (
     "party_adjustment",
 )
 
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class ErpTables:
-    gl_entry: DataFrame
-    customer_mapping: DataFrame
-    sales_invoice: DataFrame
-    sales_order: DataFrame
-    sales_order_item: DataFrame
-    sales_invoice_item: DataFrame
-    item_variant_attribute: DataFrame
-    delivery_note: DataFrame
-    delivery_note_item: DataFrame
-    company: DataFrame
-    # The reference stubs adjustments as empty; a caller may supply a table.
-    party_adjustment: DataFrame | None = None
-
-    def replace(self, **frames: DataFrame) -> ErpTables:
-        return dataclasses.replace(self, **{k: conform(v, k) for k, v in frames.items()})
+    """Named ERP tables; each value is a DataFrame or a zero-argument
+    function building one.  Attribute access returns the conformed frame
+    (built once).  ``party_adjustment`` may be absent (the reference stubs
+    it as empty): then it reads as ``None``."""
+
+    def __init__(self, sources: dict[str, Source]):
+        unknown = set(sources) - set(TABLES)
+        if unknown:
+            raise ValueError(f"unknown tables {sorted(unknown)}")
+        missing = [t for t in TABLES if t != "party_adjustment" and t not in sources]
+        if missing:
+            raise ValueError(f"tables {missing} are required")
+        self._sources = dict(sources)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name.startswith("_") or name not in TABLES:
+            raise AttributeError(name)
+        if name not in self._built:
+            src = self._sources.get(name)
+            if src is None:
+                return None
+            df = src if isinstance(src, DataFrame) else src()
+            self._built[name] = conform(df, name)
+        return self._built[name]
+
+    def replace(self, **sources: Source) -> ErpTables:
+        return ErpTables({**self._sources, **sources})
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[table])
 
 
-def from_frames(spark: SparkSession, **frames: DataFrame) -> ErpTables:
-    """Conform caller-made frames; a missing ``party_adjustment`` is empty."""
-    out = {}
-    for name in TABLES:
-        df = frames.get(name)
-        if df is None:
-            if name != "party_adjustment":
-                raise ValueError(f"table {name} is required")
-            df = empty(spark, name)
-        out[name] = conform(df, name)
-    return ErpTables(**out)
+def from_frames(spark: SparkSession, **frames: Source) -> ErpTables:
+    """Caller-made frames (or builders of them)."""
+    return ErpTables(frames)
 
 
 def from_parquet(spark: SparkSession, root: str) -> ErpTables:
     """One parquet folder (or file) per table under ``root``."""
-    frames = {}
-    for name in TABLES:
-        try:
-            frames[name] = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-        except Exception:  # noqa: BLE001 - optional table
-            if name != "party_adjustment":
-                raise
-    return from_frames(spark, **frames)
+    base = root.rstrip("/")
+
+    def reader(name: str) -> Callable[[], DataFrame]:
+        def read() -> DataFrame:
+            try:
+                return spark.read.parquet(f"{base}/{name}")
+            except Exception:  # noqa: BLE001 - only the optional table may be absent
+                if name != "party_adjustment":
+                    raise
+                return empty(spark, name)
+        return read
+
+    return ErpTables({name: reader(name) for name in TABLES})
 
 
 def from_catalog(spark: SparkSession, database: str | None = None) -> ErpTables:
     """Tables registered in the catalog (e.g. bucketed managed tables)."""
     prefix = f"{database}." if database else ""
-    frames = {}
-    for name in TABLES:
-        if spark.catalog.tableExists(f"{prefix}{name}"):
-            frames[name] = spark.table(f"{prefix}{name}")
-    return from_frames(spark, **frames)
+
+    def reader(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.table(f"{prefix}{name}")
+
+    names = [n for n in TABLES if n != "party_adjustment" or spark.catalog.tableExists(f"{prefix}{n}")]
+    return ErpTables({name: reader(name) for name in names})

@@ -45,10 +45,6 @@ def _key(prefix: str, *cols: str) -> F.Column:
     return F.concat(*parts)
 
 
-def load_tpch(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TPCH_TABLES}
-
-
 def customer_company(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """c_custkey -> company (the region name of the customer's nation).
 
@@ -258,21 +254,38 @@ def party_adjustment(lineitem: DataFrame, orders: DataFrame, mapping: DataFrame)
 
 
 def erp_tables(spark: SparkSession, sf_dir: str) -> ErpTables:
-    """All ERP tables, derived lazily from the parquet under ``sf_dir``."""
-    t = load_tpch(spark, sf_dir)
-    cc = customer_company(t["customer"], t["nation"], t["region"])
-    mapping = customer_mapping(t["customer"])
+    """All ERP tables, derived lazily from the parquet under ``sf_dir``.
+
+    Nothing is read until a report touches a table; shared inputs (the
+    source frames, customer -> company, the mapping) are built once.
+    """
+    memo: dict[str, DataFrame] = {}
+
+    def once(key: str, build) -> DataFrame:
+        if key not in memo:
+            memo[key] = build()
+        return memo[key]
+
+    def src(name: str) -> DataFrame:
+        return once(name, lambda: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+    def cc() -> DataFrame:
+        return once("_cc", lambda: customer_company(src("customer"), src("nation"), src("region")))
+
+    def mapping() -> DataFrame:
+        return once("_mapping", lambda: customer_mapping(src("customer")))
+
     return from_frames(
         spark,
-        gl_entry=gl_entry(t["orders"], t["lineitem"], cc),
+        gl_entry=lambda: gl_entry(src("orders"), src("lineitem"), cc()),
         customer_mapping=mapping,
-        sales_invoice=sales_invoice(t["orders"], t["lineitem"]),
-        sales_order=sales_order(t["orders"], cc),
-        sales_order_item=sales_order_item(t["lineitem"]),
-        sales_invoice_item=sales_invoice_item(t["lineitem"]),
-        item_variant_attribute=item_variant_attribute(t["part"]),
-        delivery_note=delivery_note(t["lineitem"]),
-        delivery_note_item=delivery_note_item(t["lineitem"]),
-        company=company(t["region"]),
-        party_adjustment=party_adjustment(t["lineitem"], t["orders"], mapping),
+        sales_invoice=lambda: sales_invoice(src("orders"), src("lineitem")),
+        sales_order=lambda: sales_order(src("orders"), cc()),
+        sales_order_item=lambda: sales_order_item(src("lineitem")),
+        sales_invoice_item=lambda: sales_invoice_item(src("lineitem")),
+        item_variant_attribute=lambda: item_variant_attribute(src("part")),
+        delivery_note=lambda: delivery_note(src("lineitem")),
+        delivery_note_item=lambda: delivery_note_item(src("lineitem")),
+        company=lambda: company(src("region")),
+        party_adjustment=lambda: party_adjustment(src("lineitem"), src("orders"), mapping()),
     )

@@ -1,0 +1,86 @@
+"""Goldens G5-G6 (FIXTURES.md §3) and the order reports' parameter rules."""
+
+import pytest
+
+from tally.plans import reports as rep
+from tally.plans.params import OrderParams, ReportError
+
+from fixtures import golden_tables
+
+PERIOD = dict(from_date="2024-02-01", to_date="2024-02-29", as_of="2024-03-01")
+COLS = ("soi_name", "customer_name", "item_code", "qty", "pending_qty", "billed_qty", "grade")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return golden_tables(spark)
+
+
+def test_g5_item_sales_for_period(tables):
+    df = rep.item_sales_for_period(tables, OrderParams.of(**PERIOD))
+    got = [tuple(r[c] for c in COLS) for r in df.collect()]
+    assert got == [
+        ("S1a", "Alpha", "ITEM-X", 10.0, 6.0, 4.0, "A"),
+        ("S1b", "Alpha", "ITEM-X", 2.0, 2.0, 0.0, "A"),
+        ("S2a", None, "ITEM-Y", 5.0, 0.0, 0.0, None),
+        ("S5a", "Delta", "ITEM-X", 3.0, 3.0, 6.0, "A"),
+    ]
+
+
+def test_g5_total(tables):
+    df = rep.item_sales_for_period(tables, OrderParams.of(**PERIOD), with_total=True)
+    rows = df.collect()
+    assert rows[-1].is_total == 1 and rows[-1].qty == 20.0 and len(rows) == 5
+
+
+def test_delay_days_uses_as_of(tables):
+    df = rep.item_sales_for_period(tables, OrderParams.of(**PERIOD))
+    assert {r.delay_days for r in df.collect()} == {15}
+
+
+def test_item_filter(tables):
+    df = rep.item_sales_for_period(tables, OrderParams.of(item="ITEM-Y", **PERIOD))
+    assert [r.soi_name for r in df.collect()] == ["S2a"]
+
+
+def test_customer_report(tables):
+    df = rep.item_sales_for_customer(tables, OrderParams.of(customer="Delta", **PERIOD))
+    got = [(r.soi_name, r.customer_name, r.billed_qty) for r in df.collect()]
+    assert got == [("S5a", "Delta", 6.0)]
+    assert "grade" not in df.columns
+
+
+def test_grade_fan_out_multiplies_billed(spark):
+    from fixtures import GRADE, ITEM_VARIANT_ATTRIBUTE
+    t = golden_tables(spark, item_variant_attribute=ITEM_VARIANT_ATTRIBUTE + [("ITEM-X", GRADE, "B")])
+    df = rep.item_sales_for_period(t, OrderParams.of(**PERIOD))
+    got = {r.soi_name: (r.billed_qty, r.grade) for r in df.collect()}
+    assert got["S1a"] == (8.0, "A") and got["S5a"] == (12.0, "A")
+
+
+def test_no_filters_gives_empty_frame_with_schema(tables):
+    df = rep.item_sales_for_period(tables, OrderParams.of(as_of="2024-03-01"))
+    assert df.collect() == [] and "grade" in df.columns and len(df.columns) == 15
+
+
+def test_date_rules():
+    with pytest.raises(ReportError):
+        OrderParams.of(to_date="2024-02-01")
+    with pytest.raises(ReportError):
+        OrderParams.of(from_date="2024-02-01")
+    with pytest.raises(ReportError):
+        OrderParams.of(from_date="2024-02-02", to_date="2024-02-01")
+    assert OrderParams.of(from_date="2024-02-01", to_date="2024-02-01").from_date is not None
+
+
+def test_g6_elapsed_time(tables):
+    report = rep.item_sales_for_period(tables, OrderParams.of(**PERIOD))
+    df = rep.so_elapsed_time(tables, report)
+    got = {(r.sales_order, r.so_item_code): r.elapsed_seconds for r in df.collect()}
+    assert got == {("SO-1", "ITEM-X"): 259200}
+
+
+def test_g6_all_orders(tables):
+    got = {(r.sales_order, r.so_item_code): r.elapsed_seconds
+           for r in rep.so_elapsed_time(tables).collect()}
+    assert got == {("SO-1", "ITEM-X"): 259200}
