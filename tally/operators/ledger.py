@@ -60,16 +60,27 @@ def with_customer_name(df: DataFrame, mapping: DataFrame, code_col: str = "party
     return df.join(m, F.col(code_col) == F.col("_code"), "left").drop("_code")
 
 
-def flag_returns(df: DataFrame, returns: DataFrame, voucher_col: str) -> DataFrame:
+def flag_returns(df: DataFrame, returns: DataFrame, voucher_col: str,
+                 spread_col: str | None = None) -> DataFrame:
     """Adds boolean ``is_return`` = voucher is a return invoice.
 
     A left join to the *distinct* names (membership, never a fan-out).
+    With ``spread_col``, rows whose voucher is NULL get the join key
+    ``'\\0' + spread_col`` instead of NULL, so they hash across partitions
+    rather than into one; the ``voucher IS NOT NULL`` join condition keeps
+    them from ever matching.
     """
     names = returns.select(F.col("name").alias("_ret_name")).distinct().withColumn("_hit", F.lit(True))
+    voucher = F.col(voucher_col)
+    if spread_col is None:
+        cond = voucher == F.col("_ret_name")
+    else:
+        df = df.withColumn("_jk", F.coalesce(voucher, F.concat(F.lit("\u0000"), F.col(spread_col))))
+        cond = (F.col("_jk") == F.col("_ret_name")) & voucher.isNotNull()
     return (
-        df.join(names, F.col(voucher_col) == F.col("_ret_name"), "left")
+        df.join(names, cond, "left")
         .withColumn("is_return", F.coalesce(F.col("_hit"), F.lit(False)))
-        .drop("_ret_name", "_hit")
+        .drop("_ret_name", "_hit", "_jk")
     )
 
 
@@ -100,7 +111,8 @@ def _party_sums(entries: DataFrame, returns: DataFrame, from_date: dt.date, part
         F.sum(amt).alias("closing_balance"),
         F.min("posting_date").alias("first_posting_date"),
     )
-    flagged = flag_returns(pre, returns, "vkey")
+    # Rows with no voucher to look up (one per party) are spread by party.
+    flagged = flag_returns(pre, returns, "vkey", spread_col="party")
     ret = F.col("is_return")
     return flagged.groupBy("party").agg(
         F.sum("opening_balance").alias("opening_balance"),
