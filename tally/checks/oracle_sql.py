@@ -179,8 +179,10 @@ def item_display() -> str:
         FROM ({_item_rows(True)}) r""")
 
 
-def elapsed_time() -> str:
-    return with_views("""
+def elapsed_time(for_report: bool = False) -> str:
+    orders = (f"AND so.name IN (SELECT sales_order FROM ({_item_rows(True)}) r)"
+              if for_report else "")
+    return with_views(f"""
         SELECT sales_order, so_item_code, arg_max(elapsed_seconds, soi_name) AS elapsed_seconds
         FROM (
             SELECT so.name AS sales_order, soi.item_code AS so_item_code, soi.name AS soi_name,
@@ -189,7 +191,7 @@ def elapsed_time() -> str:
             JOIN sales_order_item soi ON soi.parent = so.name
             LEFT JOIN delivery_note_item dni ON dni.so_detail = soi.name
             LEFT JOIN delivery_note dn ON dni.parent = dn.name
-            WHERE dn.docstatus = 1
+            WHERE dn.docstatus = 1 {orders}
             GROUP BY so.name, soi.item_code, soi.name, so.transaction_date
         ) t
         GROUP BY sales_order, so_item_code""")
@@ -232,6 +234,7 @@ ORACLE_SQL: dict[str, str] = {
     "item_sales_for_item": item_sales(True, item=ITEM),
     "item_sales_for_customer": item_sales(False, customer=CUSTOMER),
     "so_elapsed_time": elapsed_time(),
+    "so_elapsed_time_for_report": elapsed_time(for_report=True),
     "customer_financial_status_with_total": financial_status(total=True),
     "customer_balance_summary_with_total": balance_summary(total=True),
     "customer_receipts_with_total": receipts(total=True),

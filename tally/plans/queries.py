@@ -102,6 +102,12 @@ def so_elapsed_time(spark, sf_dir):
     return rep.so_elapsed_time(_tables(spark, sf_dir))
 
 
+def so_elapsed_time_for_report(spark, sf_dir):
+    """R6 for the orders of an item-sales report (semi join, not an IN list)."""
+    t = _tables(spark, sf_dir)
+    return rep.so_elapsed_time(t, rep.item_sales_for_period(t, _orders()))
+
+
 # ------------------------------------------------------------------ totals
 
 def customer_financial_status_with_total(spark, sf_dir):
@@ -236,6 +242,7 @@ QUERIES: dict[str, Query] = {
         item_sales_for_item,
         item_sales_for_customer,
         so_elapsed_time,
+        so_elapsed_time_for_report,
         customer_financial_status_with_total,
         customer_balance_summary_with_total,
         customer_receipts_with_total,
