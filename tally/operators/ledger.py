@@ -75,7 +75,8 @@ def flag_returns(df: DataFrame, returns: DataFrame, voucher_col: str,
     if spread_col is None:
         cond = voucher == F.col("_ret_name")
     else:
-        df = df.withColumn("_jk", F.coalesce(voucher, F.concat(F.lit("\u0000"), F.col(spread_col))))
+        spread = F.concat(F.lit("\u0000"), F.collate(F.col(spread_col), "UTF8_BINARY"))
+        df = df.withColumn("_jk", F.coalesce(voucher, spread))
         cond = (F.col("_jk") == F.col("_ret_name")) & voucher.isNotNull()
     return (
         df.join(names, cond, "left")
@@ -138,6 +139,9 @@ def ledger_summary(entries: DataFrame, returns: DataFrame, mapping: DataFrame |
         named = per_party.withColumn("customer_name", F.col("party"))
     else:
         named = with_customer_name(per_party, mapping, "party")
+    # The reference groups in a Python dict: names compare binary even when
+    # the tables carry a collation.
+    named = named.withColumn("customer_name", F.collate("customer_name", "UTF8_BINARY"))
     aggs = [F.sum(c).alias(c) for c in MONEY_COLS] + [F.min("first_posting_date").alias("first_posting_date")]
     if not with_total:
         return named.groupBy("customer_name").agg(*aggs)

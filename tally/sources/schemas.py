@@ -72,8 +72,29 @@ GUARDED: dict[str, tuple[str, ...]] = {
 }
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select the declared columns of ``table`` in order, cast to their types."""
+# Text columns the reference compares inside SQL, where the database's
+# collation applies (case-, accent- and trailing-space-insensitive there).
+# Columns it compares in Python (voucher numbers against the return list,
+# the ``is_opening`` flag, the grouping by customer name) stay binary.
+TEXT_KEYS: dict[str, tuple[str, ...]] = {
+    "gl_entry": ("party_type", "party", "company", "finance_book"),
+    "customer_mapping": ("customer_code", "customer_name"),
+    "sales_order": ("name", "customer", "status", "company"),
+    "sales_order_item": ("name", "parent", "item_code"),
+    "sales_invoice_item": ("so_detail",),
+    "item_variant_attribute": ("parent", "attribute"),
+    "delivery_note": ("name",),
+    "delivery_note_item": ("parent", "so_detail"),
+    "company": ("name",),
+}
+
+
+def conform(df: DataFrame, table: str, collation: str | None = None) -> DataFrame:
+    """Select the declared columns of ``table`` in order, cast to their types.
+
+    With ``collation`` (e.g. ``UNICODE_CI_AI_RTRIM``) the table's text keys
+    carry that collation, so every join, filter and sort on them follows it.
+    """
     schema = SCHEMAS[table]
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
@@ -84,5 +105,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         c = F.col(f.name).cast(f.dataType)
         if f.name in guarded:
             c = F.when(c.isNull(), F.raise_error(F.lit(f"{table}.{f.name} is NULL"))).otherwise(c)
+        if collation and f.name in TEXT_KEYS.get(table, ()):
+            c = F.collate(c, collation)
         cols.append(c.alias(f.name))
     return df.select(*cols)

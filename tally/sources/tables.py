@@ -36,9 +36,12 @@ class ErpTables:
     """Named ERP tables; each value is a DataFrame or a zero-argument
     function building one.  Attribute access returns the conformed frame
     (built once).  ``party_adjustment`` may be absent (the reference stubs
-    it as empty): then it reads as ``None``."""
+    it as empty): then it reads as ``None``.
 
-    def __init__(self, sources: dict[str, Source]):
+    ``collation`` (default binary) is applied to the text keys the reference
+    compares in SQL; see ``schemas.TEXT_KEYS``."""
+
+    def __init__(self, sources: dict[str, Source], collation: str | None = None):
         unknown = set(sources) - set(TABLES)
         if unknown:
             raise ValueError(f"unknown tables {sorted(unknown)}")
@@ -47,6 +50,7 @@ class ErpTables:
             raise ValueError(f"tables {missing} are required")
         self._sources = dict(sources)
         self._built: dict[str, DataFrame] = {}
+        self.collation = collation
 
     def __getattr__(self, name: str) -> DataFrame | None:
         if name.startswith("_") or name not in TABLES:
@@ -56,11 +60,15 @@ class ErpTables:
             if src is None:
                 return None
             df = src if isinstance(src, DataFrame) else src()
-            self._built[name] = conform(df, name)
+            self._built[name] = conform(df, name, self.collation)
         return self._built[name]
 
     def replace(self, **sources: Source) -> ErpTables:
-        return ErpTables({**self._sources, **sources})
+        return ErpTables({**self._sources, **sources}, self.collation)
+
+    def with_collation(self, collation: str | None) -> ErpTables:
+        """The same tables with text keys compared under ``collation``."""
+        return ErpTables(self._sources, collation)
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:

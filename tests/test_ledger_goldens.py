@@ -132,3 +132,21 @@ def test_input_order_does_not_matter(spark, tables):
     cols = ("customer_name",) + MONEY
     assert rows(rep.customer_financial_status(t2, p), cols) == rows(
         rep.customer_financial_status(tables, p), cols)
+
+
+def test_collation_matches_codes_like_the_database(spark):
+    from fixtures import GL, MAPPING
+    # mapping codes differ from the ledger's parties in case and trailing blanks
+    mapping = [(c.lower() + " ", n) for c, n in MAPPING]
+    t = golden_tables(spark, customer_mapping=mapping)
+    p = LedgerParams.of(*PERIOD, company="C1")
+    binary = rep.customer_financial_status(t, p).collect()
+    assert [r.customer_name for r in binary] == [None]  # nothing maps byte-for-byte
+    ci = rep.customer_financial_status(t.with_collation("UNICODE_CI_AI_RTRIM"), p)
+    assert rows(ci, ("customer_name",) + MONEY) == [
+        ("Alpha", 107.0, 50.0, 20.0, 30.0, 107.0),
+        ("Beta", 0.0, 40.0, 0.0, 48.0, -8.0),
+        (None, 0.0, 5.0, 0.0, 0.0, 5.0),
+        ("Delta", 0.0, 20.0, 0.0, 0.0, 20.0),
+    ]
+    assert GL  # same ledger as G1

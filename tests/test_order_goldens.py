@@ -84,3 +84,16 @@ def test_g6_all_orders(tables):
     got = {(r.sales_order, r.so_item_code): r.elapsed_seconds
            for r in rep.so_elapsed_time(tables).collect()}
     assert got == {("SO-1", "ITEM-X"): 259200}
+
+
+def test_collation_on_order_keys(spark):
+    from fixtures import DELIVERY_NOTE_ITEM, MAPPING, SALES_ORDER_ITEM
+    items = [(n, p.lower(), i.lower() + " ", *rest) for n, p, i, *rest in SALES_ORDER_ITEM]
+    t = golden_tables(spark, customer_mapping=[(c.lower(), n) for c, n in MAPPING],
+                      sales_order_item=items)
+    assert rep.item_sales_for_period(t, OrderParams.of(**PERIOD)).collect() == []
+    ci = rep.item_sales_for_period(t.with_collation("UNICODE_CI_AI_RTRIM"), OrderParams.of(**PERIOD))
+    got = [(r.soi_name, r.customer_name, r.billed_qty, r.grade) for r in ci.collect()]
+    assert got == [("S1a", "Alpha", 4.0, "A"), ("S1b", "Alpha", 0.0, "A"),
+                   ("S2a", None, 0.0, None), ("S5a", "Delta", 6.0, "A")]
+    assert DELIVERY_NOTE_ITEM
