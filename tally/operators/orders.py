@@ -27,6 +27,7 @@ from pyspark.sql.types import DecimalType
 
 from tally.functions import days_between, seconds_between
 from tally.operators import filters as flt
+from tally.operators.joins import lookup_join
 
 QTY = DecimalType(38, 9)
 
@@ -72,16 +73,17 @@ def with_billed(lines: DataFrame, sales_invoice_item: DataFrame) -> DataFrame:
 
 
 def with_mapping(lines: DataFrame, mapping: DataFrame, inner: bool = False) -> DataFrame:
-    """Customer name by the order's customer code (inner for F7)."""
+    """Customer name by the order's customer code (inner for F7).
+    Salted by line, so one customer with a third of the lines is split."""
     m = mapping_by_code(mapping)
     how = "inner" if inner else "left"
-    return lines.join(m, F.col("customer") == F.col("_code"), how).drop("_code")
+    return lookup_join(lines, m, "customer", "_code", how, salt_from=["soi_name"]).drop("_code")
 
 
 def with_grade(lines: DataFrame, item_variant_attribute: DataFrame) -> DataFrame:
-    """Grade of the line's item (left)."""
+    """Grade of the line's item (left).  Salted by line, like J4."""
     g = grade_by_item(item_variant_attribute)
-    return lines.join(g, F.col("item_code") == F.col("_item"), "left").drop("_item")
+    return lookup_join(lines, g, "item_code", "_item", "left", salt_from=["soi_name"]).drop("_item")
 
 
 def delivery_status(lines: DataFrame, as_of: dt.date) -> DataFrame:

@@ -190,7 +190,8 @@ def so_elapsed_time(t: ErpTables, order_names: DataFrame | None = None) -> DataF
     collected) or for all orders."""
     so = t.sales_order
     if order_names is not None:
-        names = order_names.select(F.col("sales_order").alias("_so"))
+        # distinct: a report has a row per line, so a big order repeats
+        names = order_names.select(F.col("sales_order").alias("_so")).distinct()
         so = so.join(names, F.col("name") == F.col("_so"), "left_semi")
     lines = ords.order_lines(so, t.sales_order_item)
     last = ords.last_delivery(t.delivery_note, t.delivery_note_item)
