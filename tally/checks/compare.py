@@ -38,11 +38,34 @@ def _norm(v):
     return v
 
 
-def normalise(rows: list[dict]) -> list[tuple]:
-    out = [tuple((k, _norm(r[k])) for k in sorted(r)) for r in rows]
+def _exact(v):
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return None
+    if isinstance(v, decimal.Decimal):
+        return float(v)
+    if isinstance(v, (dt.datetime, pd.Timestamp)):
+        return str(v)
+    if hasattr(v, "item"):
+        return _exact(v.item())
+    return v
+
+
+def normalise(rows: list[dict], exact: bool = False) -> list[tuple]:
+    f = _exact if exact else _norm
+    out = [tuple((k, f(r[k])) for k in sorted(r)) for r in rows]
     return sorted(out, key=repr)
 
 
+def _family(type_name: str) -> str:
+    t = type_name.lower()
+    for fam, keys in (("int", ("int", "long", "short", "byte")), ("float", ("double", "float", "real")),
+                      ("decimal", ("decimal",)), ("date", ("date",)), ("timestamp", ("timestamp",)),
+                      ("string", ("string", "varchar", "char")), ("bool", ("bool",))):
+        if any(k in t for k in keys):
+            return fam
+    return t
+
+
 def compare(spark, key: str, sf_dir: str, con=None) -> dict:
     from tally.checks.oracle_sql import ORACLE_SQL
     from tally.plans.queries import QUERIES
@@ -54,6 +77,8 @@ def compare(spark, key: str, sf_dir: str, con=None) -> dict:
     t1 = time.time()
     rel = con.sql(ORACLE_SQL[key])
     d_cols = rel.columns
+    d_types = {c: _family(str(t)) for c, t in zip(d_cols, rel.types)}
+    s_types = {f.name: _family(f.dataType.simpleString()) for f in sdf.schema.fields}
     d_rows = [dict(zip(d_cols, r)) for r in rel.fetchall()]
     t2 = time.time()
     res = {
@@ -65,6 +90,11 @@ def compare(spark, key: str, sf_dir: str, con=None) -> dict:
         "oracle_sec": round(t2 - t1, 2),
     }
     res["values_match"] = res["columns_match"] and normalise(s_rows) == normalise(d_rows)
+    res["exact_match"] = res["columns_match"] and normalise(s_rows, True) == normalise(d_rows, True)
+    res["types_match"] = s_types == d_types
+    if not res["types_match"]:
+        res["type_diff"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                            if s_types.get(c) != d_types.get(c)}
     if not res["columns_match"]:
         res["spark_cols"], res["oracle_cols"] = sdf.columns, d_cols
     return res
@@ -84,7 +114,8 @@ def main(argv: list[str]) -> int:
             r = compare(spark, k, sf_dir, con)
         except Exception as e:  # noqa: BLE001
             r = {"key": k, "error": repr(e)[:500]}
-        ok = r.get("values_match") and r.get("spark_rows") == r.get("oracle_rows")
+        ok = (r.get("values_match") and r.get("exact_match") and r.get("types_match")
+              and r.get("spark_rows") == r.get("oracle_rows"))
         bad += not ok
         print(("OK  " if ok else "FAIL"), r, flush=True)
     return 1 if bad else 0
