@@ -8,7 +8,10 @@ own fields stay as they are.
 
 Here each right side is reduced to one row per join key *before* the join
 (a partial + final aggregate, so a hot line or item is combined map-side),
-carrying its match count.  The join then never multiplies rows, no group of
+carrying its match count.  The customer lookup is made on the orders, not
+the lines (it depends only on the order), and the customer and grade
+lookups are salted (``joins.lookup_join``) so a hot customer or item is
+spread over many tasks.  The join then never multiplies rows, no group of
 raw invoice rows is ever shuffled as a whole, and the billed quantity is
 ``coalesce(billed_raw * mapped * graded, 0)``: exactly the reference's sum,
 done in DECIMAL so the grouping order cannot change it.
@@ -32,16 +35,21 @@ from tally.operators.joins import lookup_join
 QTY = DecimalType(38, 9)
 
 
-def order_lines(sales_order: DataFrame, sales_order_item: DataFrame) -> DataFrame:
-    """Orders joined to their lines (inner)."""
-    so = sales_order.select(
+def orders_view(sales_order: DataFrame) -> DataFrame:
+    """The order columns the reports carry, keyed ``sales_order``."""
+    return sales_order.select(
         F.col("name").alias("sales_order"), "customer", "transaction_date", "status", "company",
     )
+
+
+def order_lines(orders: DataFrame, sales_order_item: DataFrame) -> DataFrame:
+    """Orders (``orders_view``, maybe with more columns) joined to
+    their lines (inner)."""
     soi = sales_order_item.select(
         F.col("name").alias("soi_name"), F.col("parent").alias("_parent"), "item_code",
         "delivery_date", "qty", "delivered_qty", "base_amount",
     )
-    return so.join(soi, F.col("_parent") == F.col("sales_order")).drop("_parent")
+    return orders.join(soi, F.col("_parent") == F.col("sales_order")).drop("_parent")
 
 
 def mapping_by_code(mapping: DataFrame) -> DataFrame:
@@ -72,12 +80,12 @@ def with_billed(lines: DataFrame, sales_invoice_item: DataFrame) -> DataFrame:
     return lines.join(billed, F.col("soi_name") == F.col("_so_detail"), "left").drop("_so_detail")
 
 
-def with_mapping(lines: DataFrame, mapping: DataFrame, inner: bool = False) -> DataFrame:
+def with_mapping(orders: DataFrame, mapping: DataFrame, inner: bool = False) -> DataFrame:
     """Customer name by the order's customer code (inner for F7).
-    Salted by line, so one customer with a third of the lines is split."""
+    Salted by order, so one customer with a third of the orders is split."""
     m = mapping_by_code(mapping)
     how = "inner" if inner else "left"
-    return lookup_join(lines, m, "customer", "_code", how, salt_from=["soi_name"]).drop("_code")
+    return lookup_join(orders, m, "customer", "_code", how, salt_from=["sales_order"]).drop("_code")
 
 
 def with_grade(lines: DataFrame, item_variant_attribute: DataFrame) -> DataFrame:

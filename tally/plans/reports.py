@@ -143,25 +143,22 @@ def customer_status_with_adjustments(t: ErpTables, p: LedgerParams,
 # ----------------------------------------------------------------- orders
 
 
-def _filtered_lines(t: ErpTables, p: OrderParams) -> DataFrame:
+def _named_orders(t: ErpTables, p: OrderParams) -> DataFrame:
+    """Open orders of the period with their customer name (J4 on orders:
+    the name depends only on the order, and orders are fewer than lines).
+    With a customer filter the lookup is inner (F7)."""
     so = flt.in_period(flt.open_orders(t.sales_order), "transaction_date", p.from_date, p.to_date)
-    lines = flt.for_item(ords.order_lines(so, t.sales_order_item), p.item)
-    if p.customer is not None:
-        codes = flt.for_customer_name(t.customer_mapping, p.customer).select(
-            F.col("customer_code").alias("_c"))
-        lines = lines.join(codes, F.col("customer") == F.col("_c"), "left_semi")
-    if p.is_empty:  # V3: no filter at all -> empty report, schema kept
-        lines = lines.where(F.lit(False))
-    return lines
+    mapping = flt.for_customer_name(t.customer_mapping, p.customer)
+    return ords.with_mapping(ords.orders_view(so), mapping, inner=p.customer is not None)
 
 
 def item_sales(t: ErpTables, p: OrderParams, with_grade: bool, with_total: bool = False) -> DataFrame:
     """R4 (``with_grade``) / R5: one row per open order line, ordered by
     order date, item, line name (O2)."""
-    lines = _filtered_lines(t, p)
-    mapping = flt.for_customer_name(t.customer_mapping, p.customer)
-    detail = ords.with_mapping(lines, mapping, inner=p.customer is not None)
-    detail = ords.with_billed(detail, t.sales_invoice_item)
+    lines = flt.for_item(ords.order_lines(_named_orders(t, p), t.sales_order_item), p.item)
+    if p.is_empty:  # V3: no filter at all -> empty report, schema kept
+        lines = lines.where(F.lit(False))
+    detail = ords.with_billed(lines, t.sales_invoice_item)
     if with_grade:
         detail = ords.with_grade(detail, t.item_variant_attribute)
     detail = ords.line_record(ords.delivery_status(detail, p.as_of), with_grade)
@@ -193,6 +190,6 @@ def so_elapsed_time(t: ErpTables, order_names: DataFrame | None = None) -> DataF
         # distinct: a report has a row per line, so a big order repeats
         names = order_names.select(F.col("sales_order").alias("_so")).distinct()
         so = so.join(names, F.col("name") == F.col("_so"), "left_semi")
-    lines = ords.order_lines(so, t.sales_order_item)
+    lines = ords.order_lines(ords.orders_view(so), t.sales_order_item)
     last = ords.last_delivery(t.delivery_note, t.delivery_note_item)
     return ords.elapsed_by_order_item(lines, last)
