@@ -112,10 +112,7 @@ def customer_financial_status(t: ErpTables, p: LedgerParams, with_total: bool =
 def customer_balance_summary(t: ErpTables, p: LedgerParams, with_total: bool = False) -> DataFrame:
     """R2: R1 with the (never filled) ``sales`` column after opening."""
     df = customer_financial_status(t, p, with_total)
-    return display(df, "customer_balance_summary",
-                   keep=("currency", "is_total")).select(
-        "customer_name", "opening_balance", "sales", "invoiced_amount", "return_amount",
-        "paid_amount", "closing_balance", "currency", *(["is_total"] if with_total else []))
+    return display(df, "customer_balance_summary", keep=("currency", "is_total"))
 
 
 def customer_receipts(t: ErpTables, p: LedgerParams, with_total: bool = False) -> DataFrame:

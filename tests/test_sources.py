@@ -76,3 +76,23 @@ def test_tables_load_lazily(spark):
     t = erp_tables(spark, SF_SMALL).replace(gl_entry=boom)
     rep.item_sales_for_period(t, O).count()
     assert calls == []
+
+
+def test_date_partitioned_layout_prunes_directories(spark, tmp_path):
+    import contextlib
+    import io
+
+    from fixtures import golden_tables
+    from tally.sources.layout import write_table
+    golden = golden_tables(spark)
+    path = str(tmp_path / "gl_entry")
+    write_table(golden.gl_entry, "gl_entry", path)
+    loaded = golden.replace(gl_entry=spark.read.parquet(path))
+    p = LedgerParams.of("2024-02-01", "2024-02-29", company="C1")
+    r3 = rep.customer_receipts(loaded, p)
+    assert r3.collect() == rep.customer_receipts(golden, p).collect()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        r3.explain(mode="formatted")
+    scans = [l for l in buf.getvalue().splitlines() if l.startswith("PartitionFilters")]
+    assert any("posting_date" in l and "2024-02-01" in l for l in scans), scans
