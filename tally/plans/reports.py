@@ -140,19 +140,25 @@ def customer_status_with_adjustments(t: ErpTables, p: LedgerParams,
 # ----------------------------------------------------------------- orders
 
 
-def _named_orders(t: ErpTables, p: OrderParams) -> DataFrame:
+def _named_orders(t: ErpTables, p: OrderParams, customer: str | None) -> DataFrame:
     """Open orders of the period with their customer name (J4 on orders:
     the name depends only on the order, and orders are fewer than lines).
     With a customer filter the lookup is inner (F7)."""
     so = flt.in_period(flt.open_orders(t.sales_order), "transaction_date", p.from_date, p.to_date)
-    mapping = flt.for_customer_name(t.customer_mapping, p.customer)
-    return ords.with_mapping(ords.orders_view(so), mapping, inner=p.customer is not None)
+    mapping = flt.for_customer_name(t.customer_mapping, customer)
+    return ords.with_mapping(ords.orders_view(so), mapping, inner=customer is not None)
 
 
 def item_sales(t: ErpTables, p: OrderParams, with_grade: bool, with_total: bool = False) -> DataFrame:
     """R4 (``with_grade``) / R5: one row per open order line, ordered by
-    order date, item, line name (O2)."""
-    lines = flt.for_item(ords.order_lines(_named_orders(t, p), t.sales_order_item), p.item)
+    order date, item, line name (O2).
+
+    As in the reference, R4 filters by item only and R5 by customer only;
+    the other parameter does not filter (it only makes the filters
+    non-empty, V3)."""
+    customer = None if with_grade else p.customer
+    item = p.item if with_grade else None
+    lines = flt.for_item(ords.order_lines(_named_orders(t, p, customer), t.sales_order_item), item)
     if p.is_empty:  # V3: no filter at all -> empty report, schema kept
         lines = lines.where(F.lit(False))
     detail = ords.with_billed(lines, t.sales_invoice_item)

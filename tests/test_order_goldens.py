@@ -97,3 +97,13 @@ def test_collation_on_order_keys(spark):
     assert got == [("S1a", "Alpha", 4.0, "A"), ("S1b", "Alpha", 0.0, "A"),
                    ("S2a", None, 0.0, None), ("S5a", "Delta", 6.0, "A")]
     assert DELIVERY_NOTE_ITEM
+
+
+def test_each_report_ignores_the_other_reports_filter(tables):
+    r4 = rep.item_sales_for_period(tables, OrderParams.of(customer="Delta", **PERIOD))
+    assert [r.soi_name for r in r4.collect()] == ["S1a", "S1b", "S2a", "S5a"]
+    r5 = rep.item_sales_for_customer(tables, OrderParams.of(item="ITEM-Y", **PERIOD))
+    assert [r.soi_name for r in r5.collect()] == ["S1a", "S1b", "S2a", "S5a"]
+    # a filter of the other report still makes the filter set non-empty (V3)
+    assert rep.item_sales_for_customer(
+        tables, OrderParams.of(item="ITEM-Y", as_of="2024-03-01")).count() == 5  # + S7a
