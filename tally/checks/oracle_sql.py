@@ -103,8 +103,11 @@ def balance_summary(total: bool = False) -> str:
 def receipts(total: bool = False, customer: str | None = None, finance_book: str | None = None) -> str:
     tot = ", is_total" if total else ""
     inner = _ledger(period_only=True, total=total, customer=customer, finance_book=finance_book)
+    # the total row carries no date (only numeric columns are totalled)
+    date = ("CASE WHEN is_total = 1 THEN NULL ELSE strftime(first_posting_date, '%Y-%m-%d') END"
+            if total else "strftime(first_posting_date, '%Y-%m-%d')")
     return with_views(
-        f"SELECT customer_name, strftime(first_posting_date, '%Y-%m-%d') AS posting_date, "
+        f"SELECT customer_name, {date} AS posting_date, "
         f"{_dbl('paid_amount opening_balance invoiced_amount return_amount closing_balance')}, "
         f"currency{tot} FROM ({inner}) r")
 

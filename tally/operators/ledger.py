@@ -126,13 +126,12 @@ def _party_sums(entries: DataFrame, returns: DataFrame, from_date: dt.date, part
 
 
 def ledger_summary(entries: DataFrame, returns: DataFrame, mapping: DataFrame | None,
-                   from_date: dt.date, party_type: str = "Customer",
-                   with_total: bool = False) -> DataFrame:
-    """A1 + A3 (+ A7 when ``with_total``): one row per customer name.
+                   from_date: dt.date, party_type: str = "Customer") -> DataFrame:
+    """A1 + A3: one row per customer name.
 
     ``mapping=None`` names each party by its own code (supplier side).
     Columns: customer_name, the five money buckets (DECIMAL),
-    first_posting_date, and ``is_total`` when ``with_total``.
+    first_posting_date.
     """
     per_party = _party_sums(entries, returns, from_date, party_type)
     if mapping is None:
@@ -143,10 +142,7 @@ def ledger_summary(entries: DataFrame, returns: DataFrame, mapping: DataFrame |
     # the tables carry a collation.
     named = named.withColumn("customer_name", F.collate("customer_name", "UTF8_BINARY"))
     aggs = [F.sum(c).alias(c) for c in MONEY_COLS] + [F.min("first_posting_date").alias("first_posting_date")]
-    if not with_total:
-        return named.groupBy("customer_name").agg(*aggs)
-    # A7 as one grouping-sets aggregate: detail rows plus the grand total.
-    return named.rollup("customer_name").agg(*aggs, F.grouping("customer_name").cast("int").alias("is_total"))
+    return named.groupBy("customer_name").agg(*aggs)
 
 
 def adjustment_totals(adjustments: DataFrame, accounts: Sequence[str]) -> DataFrame:

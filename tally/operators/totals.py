@@ -1,11 +1,11 @@
 """The report's total row.
 
 The reference asks its framework for a total row over the numeric columns
-(and its print view re-sums the detail rows).  Ledger reports get it from a
-grouping-sets aggregate in the same pass (``ledger_summary(with_total=True)``);
-order reports add a one-row global aggregate, computed map-side, with
-``unionByName``.  Either way the frame gains ``is_total`` (1 on the total),
-because the total row and the NULL customer group both have a NULL name.
+(and its print view re-sums the detail rows).  A report adds a one-row
+global aggregate of its kept rows (partial sums per task, one tiny final
+task) with ``unionByName``; an empty report gets no total row.  The frame
+gains ``is_total`` (1 on the total), because the total row and the NULL
+customer group both have a NULL name.
 """
 
 from __future__ import annotations
@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 
 def total_row(df: DataFrame, sums: Sequence[str]) -> DataFrame:
-    """One row: the sum of each column in ``sums``."""
-    return df.agg(*[F.sum(c).alias(c) for c in sums])
+    """One row with the sum of each column in ``sums``, or no row at all when
+    ``df`` is empty (an empty report has no total row)."""
+    return (
+        df.agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > 0)
+        .drop("_rows")
+    )
 
 
 def union_total(detail: DataFrame, total: DataFrame) -> DataFrame:

@@ -77,15 +77,14 @@ def ledger_report(t: ErpTables, p: LedgerParams, *, period_only: bool = False,
     mapping = flt.for_customer_name(t.customer_mapping, p.customer) if customer_side else None
     entries = ledger_entries(t, p, period_only, use_finance_book)
     returns = flt.return_invoices(t.sales_invoice, p.from_date)
-    summary = led.ledger_summary(entries, returns, mapping, p.from_date, p.party_type, with_total)
+    summary = flt.nonzero_ledger_row(
+        led.ledger_summary(entries, returns, mapping, p.from_date, p.party_type))
     if with_total:
-        keep = (F.col("is_total") == 1) | (
-            (F.col("opening_balance") != 0) | (F.col("invoiced_amount") != 0)
-            | (F.col("paid_amount") != 0) | (F.col("return_amount") != 0)
-        )
-        summary = summary.where(keep)
-    else:
-        summary = flt.nonzero_ledger_row(summary)
+        # A7 over the kept rows: a one-row global aggregate of the same
+        # aggregated frame (its shuffle is reused), none when nothing is kept.
+        total = total_row(summary, led.MONEY_COLS).withColumn(
+            "first_posting_date", F.lit(None).cast("date"))
+        summary = union_total(summary, total)
     extra: list[str] = []
     if adjustments is not None:
         summary = led.apply_adjustments(summary, adjustments, adjustment_accounts)

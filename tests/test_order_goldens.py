@@ -107,3 +107,9 @@ def test_each_report_ignores_the_other_reports_filter(tables):
     # a filter of the other report still makes the filter set non-empty (V3)
     assert rep.item_sales_for_customer(
         tables, OrderParams.of(item="ITEM-Y", as_of="2024-03-01")).count() == 5  # + S7a
+
+
+def test_empty_report_has_no_total_row(tables):
+    assert rep.item_sales_for_period(tables, OrderParams.of(as_of="2024-03-01"), with_total=True).count() == 0
+    none = OrderParams.of(from_date="2030-01-01", to_date="2030-01-31", as_of="2030-03-01")
+    assert rep.item_sales_for_period(tables, none, with_total=True).count() == 0
