@@ -105,7 +105,7 @@ def so_elapsed_time(spark, sf_dir):
 def so_elapsed_time_for_report(spark, sf_dir):
     """R6 for the orders of an item-sales report (semi join, not an IN list)."""
     t = _tables(spark, sf_dir)
-    return rep.so_elapsed_time(t, rep.item_sales_for_period(t, _orders()))
+    return rep.so_elapsed_time(t, rep.item_sales_orders(t, _orders()))
 
 
 # ------------------------------------------------------------------ totals

@@ -172,6 +172,22 @@ def item_sales(t: ErpTables, p: OrderParams, with_grade: bool, with_total: bool
     return union_total(detail, total).orderBy(F.col("is_total").asc(), *order)
 
 
+def item_sales_orders(t: ErpTables, p: OrderParams, with_grade: bool = True) -> DataFrame:
+    """The distinct orders an item-sales report lists (R6's input), from the
+    filters that decide them only: the report's name, billed and grade
+    lookups are left joins, so they never change which orders appear."""
+    customer = None if with_grade else p.customer
+    item = p.item if with_grade else None
+    so = flt.in_period(flt.open_orders(t.sales_order), "transaction_date", p.from_date, p.to_date)
+    if customer is not None:
+        codes = flt.for_customer_name(t.customer_mapping, customer).select(F.col("customer_code").alias("_c"))
+        so = so.join(codes, F.col("customer") == F.col("_c"), "left_semi")
+    lines = flt.for_item(ords.order_lines(ords.orders_view(so), t.sales_order_item), item)
+    if p.is_empty:
+        lines = lines.where(F.lit(False))
+    return lines.select("sales_order").distinct()
+
+
 def item_sales_for_period(t: ErpTables, p: OrderParams, with_total: bool = False) -> DataFrame:
     """R4."""
     return item_sales(t, p, with_grade=True, with_total=with_total)

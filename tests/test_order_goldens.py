@@ -113,3 +113,13 @@ def test_empty_report_has_no_total_row(tables):
     assert rep.item_sales_for_period(tables, OrderParams.of(as_of="2024-03-01"), with_total=True).count() == 0
     none = OrderParams.of(from_date="2030-01-01", to_date="2030-01-31", as_of="2030-03-01")
     assert rep.item_sales_for_period(tables, none, with_total=True).count() == 0
+
+
+def test_report_orders_equal_the_reports_orders(tables):
+    p = OrderParams.of(**PERIOD)
+    for with_grade in (True, False):
+        full = rep.item_sales(tables, p, with_grade=with_grade)
+        assert sorted(r.sales_order for r in rep.item_sales_orders(tables, p, with_grade).collect()) == \
+            sorted({r.sales_order for r in full.collect()})
+    p5 = OrderParams.of(customer="Delta", **PERIOD)
+    assert [r.sales_order for r in rep.item_sales_orders(tables, p5, with_grade=False).collect()] == ["SO-5"]
