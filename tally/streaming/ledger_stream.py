@@ -39,7 +39,9 @@ def read_entries(spark, path: str, fmt: str = "parquet", max_files_per_trigger:
 
 def running_balances(entries: DataFrame, t: ErpTables, p: LedgerParams) -> DataFrame:
     """Streaming R1: per customer name the five buckets of all entries seen
-    so far (up to ``p.to_date``), zero rows suppressed."""
+    so far (up to ``p.to_date``).  ``is_suppressed`` marks names the batch
+    report would drop (all buckets zero); keep the latest row per name and
+    drop those to get the batch report."""
     gl = flt.for_party_type(flt.posted(entries), p.party_type)
     gl = flt.for_company(flt.up_to(gl, "posting_date", p.to_date), p.company)
     gl = gl.select("posting_date", "party", "voucher_no", "debit", "credit", "is_opening")
@@ -65,7 +67,13 @@ def running_balances(entries: DataFrame, t: ErpTables, p: LedgerParams) -> DataF
         F.sum(amt).alias("closing_balance"),
         F.min("posting_date").alias("first_posting_date"),
     )
-    summary = flt.nonzero_ledger_row(summary)
+    # Update mode emits a row whenever a name changes; a filter here would
+    # leave a stale row in the sink when a balance returns to zero, so the
+    # zero rule (F10) is a flag the consumer applies after its upsert.
+    nonzero = F.lit(False)
+    for c in ("opening_balance", "invoiced_amount", "paid_amount", "return_amount"):
+        nonzero = nonzero | (F.col(c) != 0)
+    summary = summary.withColumn("is_suppressed", ~nonzero)
     return led.money_to_double(summary, led.MONEY_COLS)
 
 
