@@ -39,6 +39,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 _TABLES: dict[tuple[int, str], tuple[SparkSession, ErpTables]] = {}
 
 
+def use_tables(spark: SparkSession, sf_dir: str, tables: ErpTables) -> None:
+    """Run the registered queries for ``sf_dir`` over ``tables`` instead of the
+    derived views (e.g. ERP tables already stored as parquet)."""
+    _TABLES[(id(spark), sf_dir)] = (spark, tables)
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> ErpTables:
     """The derived table set of ``sf_dir``, built lazily and kept per session,
     so a run of many reports lists and analyses each source once."""
