@@ -5,6 +5,8 @@
   so their date predicates become directory pruning (``PartitionFilters``)
   and whole days are never opened.
 * ``sales_order`` is partitioned by ``transaction_date`` (R4/R5 periods).
+* ``sales_invoice`` is partitioned by ``posting_date``: the return lookup
+  reads only invoices dated on or after the period start.
 * The other tables are plain parquet folders.
 
 Writing is a normal DataFrame write; reading back is
@@ -20,10 +22,12 @@ from tally.sources.tables import TABLES, ErpTables
 PARTITION_BY: dict[str, str] = {
     "gl_entry": "posting_date",
     "sales_order": "transaction_date",
+    "sales_invoice": "posting_date",
 }
 SORT_WITHIN: dict[str, tuple[str, ...]] = {
     "gl_entry": ("party", "voucher_no"),
     "sales_order": ("name",),
+    "sales_invoice": ("name",),
 }
 
 
