@@ -79,16 +79,16 @@ def ledger_report(t: ErpTables, p: LedgerParams, *, period_only: bool = False,
     returns = flt.return_invoices(t.sales_invoice, p.from_date)
     summary = flt.nonzero_ledger_row(
         led.ledger_summary(entries, returns, mapping, p.from_date, p.party_type))
-    if with_total:
-        # A7 over the kept rows: a one-row global aggregate of the same
-        # aggregated frame (its shuffle is reused), none when nothing is kept.
-        total = total_row(summary, led.MONEY_COLS).withColumn(
-            "first_posting_date", F.lit(None).cast("date"))
-        summary = union_total(summary, total)
     extra: list[str] = []
     if adjustments is not None:
         summary = led.apply_adjustments(summary, adjustments, adjustment_accounts)
         extra = [c for c in summary.columns if c.startswith("adj_")]
+    if with_total:
+        # A7 over the kept (and adjusted) rows: a one-row global aggregate of
+        # the same frame (its stages are reused), none when nothing is kept.
+        total = total_row(summary, [*led.MONEY_COLS, *extra]).withColumn(
+            "first_posting_date", F.lit(None).cast("date"))
+        summary = union_total(summary, total)
     summary = summary.withColumn("currency", company_currency_col(t, p.company))
     order = [F.col("first_posting_date").asc(), F.col("customer_name").asc_nulls_first()]
     if with_total:
@@ -126,13 +126,13 @@ def customer_receipts(t: ErpTables, p: LedgerParams, with_total: bool = False) -
     )
 
 
-def customer_status_with_adjustments(t: ErpTables, p: LedgerParams,
-                                     accounts: Sequence[str]) -> DataFrame:
+def customer_status_with_adjustments(t: ErpTables, p: LedgerParams, accounts: Sequence[str],
+                                     with_total: bool = False) -> DataFrame:
     """R1 + A8 with the given adjustments table and account list."""
     adj = t.party_adjustment
     if adj is None:
         raise ValueError("no party_adjustment table")
-    df = ledger_report(t, p, adjustments=adj, adjustment_accounts=accounts)
+    df = ledger_report(t, p, adjustments=adj, adjustment_accounts=accounts, with_total=with_total)
     return df.drop("first_posting_date")
 
 

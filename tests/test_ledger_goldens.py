@@ -156,3 +156,20 @@ def test_collation_matches_codes_like_the_database(spark):
 def test_empty_ledger_has_no_total_row(tables):
     p = LedgerParams.of("2030-01-01", "2030-01-31", company="C9")
     assert rep.customer_financial_status(tables, p, with_total=True).count() == 0
+
+
+def test_adjustments_with_total_row(spark, tables):
+    from decimal import Decimal
+
+    from tally.sources.schemas import SCHEMAS
+    adj = spark.createDataFrame(
+        [("Alpha", "Write Off", Decimal(5)), (None, "Write Off", Decimal(2))],
+        SCHEMAS["party_adjustment"])
+    t = tables.replace(party_adjustment=adj)
+    rows = rep.customer_status_with_adjustments(
+        t, LedgerParams.of(*PERIOD, company="C1"), ["Write Off"], with_total=True).collect()
+    total = rows[-1]
+    assert total.is_total == 1
+    # the NULL customer's adjustment applies to the NULL group only, once
+    assert total.paid_amount == 78.0 - 5 - 2 and total.adj_write_off == 7.0
+    assert sum(r.paid_amount for r in rows[:-1]) == total.paid_amount
