@@ -52,3 +52,25 @@ def test_ledger_scans_each_source_once(spark):
 def test_billed_is_pre_aggregated_before_the_join(spark):
     text = plan_text(QUERIES["item_sales_for_period"](spark, SF_SMALL))
     assert "partial_sum" in text
+
+
+def _sections(text: str) -> list[str]:
+    return text.split("\n\n")
+
+
+def test_ledger_is_pre_aggregated_before_any_join(spark):
+    text = plan_text(QUERIES["customer_financial_status"](spark, SF_SMALL))
+    # a partial aggregate keyed by (party, voucher-to-look-up) over raw entries
+    assert any("HashAggregate" in s and "Keys [2]: [party" in s and "partial_sum" in s
+               for s in _sections(text))
+    # no join of raw entries on their voucher number: the return lookup uses
+    # the spread key of the pre-aggregated rows
+    assert "keys [1]: [voucher_no" not in text.lower()
+    assert any("Left keys [1]: [_jk" in s for s in _sections(text))
+
+
+def test_order_lookups_are_salted(spark):
+    text = plan_text(QUERIES["item_sales_for_period"](spark, SF_SMALL))
+    assert text.count(") Generate") == 2
+    assert any("Left keys [2]: [customer" in s and "_lsalt" in s for s in _sections(text))
+    assert any("Left keys [2]: [item_code" in s and "_lsalt" in s for s in _sections(text))
