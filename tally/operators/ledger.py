@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions import adjustment_column, to_double, zero
+from tally.operators.joins import salt_buckets
 
 MONEY_COLS = ("opening_balance", "invoiced_amount", "return_amount", "paid_amount", "closing_balance")
 
@@ -61,34 +62,50 @@ def with_customer_name(df: DataFrame, mapping: DataFrame, code_col: str = "party
 
 
 def flag_returns(df: DataFrame, returns: DataFrame, voucher_col: str,
-                 spread_col: str | None = None) -> DataFrame:
+                 spread_col: str | None = None,
+                 salt_from: Sequence[str] | None = None) -> DataFrame:
     """Adds boolean ``is_return`` = voucher is a return invoice.
 
     A left join to the *distinct* names (membership, never a fan-out).
     With ``spread_col``, rows whose voucher is NULL get the join key
     ``'\\0' + spread_col`` instead of NULL, so they hash across partitions
     rather than into one; the ``voucher IS NOT NULL`` join condition keeps
-    them from ever matching.
+    them from ever matching.  With ``salt_from`` (raw rows, where one voucher
+    may hold a large share) the join is also salted: each row takes
+    ``hash(salt_from) mod n`` and the names are repeated ``n`` times
+    (``joins.salt_buckets``), so a hot voucher spreads over ``n`` tasks.
     """
     names = returns.select(F.col("name").alias("_ret_name")).distinct().withColumn("_hit", F.lit(True))
     voucher = F.col(voucher_col)
-    if spread_col is None:
-        cond = voucher == F.col("_ret_name")
-    else:
+    key = voucher
+    if spread_col is not None:
         spread = F.concat(F.lit("\u0000"), F.collate(F.col(spread_col), "UTF8_BINARY"))
-        df = df.withColumn("_jk", F.coalesce(voucher, spread))
-        cond = (F.col("_jk") == F.col("_ret_name")) & voucher.isNotNull()
+        key = F.coalesce(voucher, spread)
+    df = df.withColumn("_jk", key)
+    cond = (F.col("_jk") == F.col("_ret_name")) & voucher.isNotNull()
+    n = salt_buckets(df) if salt_from else 1
+    if n > 1:
+        df = df.withColumn(
+            "_lsalt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(n)).cast("int"))
+        names = names.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        cond = cond & (F.col("_lsalt") == F.col("_rsalt"))
     return (
         df.join(names, cond, "left")
         .withColumn("is_return", F.coalesce(F.col("_hit"), F.lit(False)))
-        .drop("_ret_name", "_hit", "_jk")
+        .drop("_ret_name", "_hit", "_jk", "_lsalt", "_rsalt")
     )
 
 
 def classify(entries: DataFrame, returns: DataFrame, from_date: dt.date, party_type: str) -> DataFrame:
-    """P1 per entry: ``amount`` and ``bucket`` (opening/invoiced/return/paid)."""
+    """P1 per entry: ``amount`` and ``bucket`` (opening/invoiced/return/paid).
+
+    Raw entries meet the return names here, so the lookup is salted by the
+    entry's own values and NULL vouchers are spread by party.
+    """
     amt = signed_amount(party_type)
-    flagged = flag_returns(entries.withColumn("amount", amt), returns, "voucher_no")
+    cols = [c for c in ("party", "voucher_no", "posting_date", "debit", "credit") if c in entries.columns]
+    flagged = flag_returns(entries.withColumn("amount", amt), returns, "voucher_no",
+                           spread_col="party", salt_from=cols)
     bucket = (
         F.when(is_opening(from_date), "opening")
         .when(F.col("amount") > 0, "invoiced")

@@ -132,3 +132,33 @@ def test_salted_lookup_equals_plain_join_and_spreads_hot_key(spark):
         plain_parts = (plain.where("v = 'h'").select(F.spark_partition_id().alias("p"))
                        .distinct().count())
     assert plain_parts == 1 and hot_parts > 1
+
+
+def test_classify_with_hot_and_null_vouchers(spark):
+    from tally.operators.ledger import classify
+    gl, mapping, invoices = skewed_ledger(n=2000, seed=9)
+    # a third of the entries on one voucher, a tenth with no voucher
+    gl = [(*r[:4], "HOTV" if i % 3 == 0 else (None if i % 10 == 1 else r[4]), *r[5:])
+          for i, r in enumerate(gl)]
+    invoices = invoices + [("HOTV", 1, 1, FROM)]
+    t = tables(spark, gl, mapping, invoices)
+    returns = {n for n, ds, ir, d in invoices if ds == 1 and ir == 1 and d >= FROM}
+    with conf(spark, SKEW_CONF):
+        got = classify(t.gl_entry, t.sales_invoice.where("is_return = 1 and posting_date >= date'2024-03-01'"),
+                       FROM, "Customer").select("voucher_no", "posting_date", "debit", "credit",
+                                                "is_opening", "bucket").collect()
+    want = []
+    for r in gl:
+        amt = r[7] - r[8]
+        if r[0] < FROM or r[9] == "Yes":
+            b = "opening"
+        elif amt > 0:
+            b = "invoiced"
+        elif r[4] in returns:
+            b = "return"
+        else:
+            b = "paid"
+        want.append((r[4], r[0], float(r[7]), float(r[8]), r[9], b))
+    norm = sorted(((g.voucher_no or ""), g.posting_date, float(g.debit), float(g.credit), g.is_opening,
+                   g.bucket) for g in got)
+    assert norm == sorted(((w[0] or ""), *w[1:]) for w in want)
