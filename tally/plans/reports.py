@@ -167,15 +167,16 @@ def item_sales(t: ErpTables, p: OrderParams, with_grade: bool, with_total: bool
     order = [F.col("date").asc(), F.col("item_code").asc(), F.col("soi_name").asc()]
     if not with_total:
         return detail.orderBy(*order)
-    # Rows never repeat a line, so the total is the plain sum over the lines.
-    total = total_row(lines, ["qty"])
+    # Rows never repeat a line, so the total is the plain sum of the listed
+    # lines' quantities, without the lookups.
+    total = total_row(_report_lines(t, p, with_grade), ["qty"])
     return union_total(detail, total).orderBy(F.col("is_total").asc(), *order)
 
 
-def item_sales_orders(t: ErpTables, p: OrderParams, with_grade: bool = True) -> DataFrame:
-    """The distinct orders an item-sales report lists (R6's input), from the
-    filters that decide them only: the report's name, billed and grade
-    lookups are left joins, so they never change which orders appear."""
+def _report_lines(t: ErpTables, p: OrderParams, with_grade: bool) -> DataFrame:
+    """The lines an item-sales report lists, from the filters that decide
+    them only: its name, billed and grade lookups are left joins and never
+    change which lines appear (R5's customer filter is a semi join here)."""
     customer = None if with_grade else p.customer
     item = p.item if with_grade else None
     so = flt.in_period(flt.open_orders(t.sales_order), "transaction_date", p.from_date, p.to_date)
@@ -185,7 +186,12 @@ def item_sales_orders(t: ErpTables, p: OrderParams, with_grade: bool = True) ->
     lines = flt.for_item(ords.order_lines(ords.orders_view(so), t.sales_order_item), item)
     if p.is_empty:
         lines = lines.where(F.lit(False))
-    return lines.select("sales_order").distinct()
+    return lines
+
+
+def item_sales_orders(t: ErpTables, p: OrderParams, with_grade: bool = True) -> DataFrame:
+    """The distinct orders an item-sales report lists (R6's input)."""
+    return _report_lines(t, p, with_grade).select("sales_order").distinct()
 
 
 def item_sales_for_period(t: ErpTables, p: OrderParams, with_total: bool = False) -> DataFrame:
