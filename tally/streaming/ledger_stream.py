@@ -54,6 +54,8 @@ def running_balances(entries: DataFrame, t: ErpTables, p: LedgerParams) -> DataF
             named = named.where(F.col("customer_name").isNotNull())
     else:
         named = classified.withColumn("customer_name", F.col("party"))
+    # names group binary, as in the batch report, whatever the tables' collation
+    named = named.withColumn("customer_name", F.collate("customer_name", "UTF8_BINARY"))
     amt, bucket = F.col("amount"), F.col("bucket")
 
     def part(name: str, sign: int = 1):
