@@ -244,7 +244,9 @@ class Codec:
         if len(self.seen) >= CACHE_ENTRIES:
             self.seen.clear()
         new: dict[int, list[tuple[str, bytes]]] = {}
-        for chunk in set().union(*cut) - self.seen.keys():
+        for chunk in set().union(*cut):
+            if chunk in self.seen:
+                continue
             data = chunk.encode("utf-8")
             new.setdefault(len(data), []).append((chunk, data))
         long: dict[str, bytes] = {}
