@@ -271,3 +271,15 @@ ORACLE_SQL: dict[str, str] = {
     "customer_status_with_adjustments": with_adjustments(),
     "item_sales_display": item_display(),
 }
+
+# The displayed columns of reports already stated above.
+ORACLE_SQL |= {
+    "customer_status_display": (
+        "SELECT customer_name, opening_balance, invoiced_amount, return_amount, paid_amount, closing_balance "
+        f"FROM ({ORACLE_SQL['customer_financial_status']})"),
+    "customer_receipts_display": (
+        f"SELECT customer_name, posting_date, paid_amount FROM ({ORACLE_SQL['customer_receipts']})"),
+    "item_sales_for_customer_display": (
+        "SELECT customer_name, item_code, CAST(NULL AS VARCHAR) AS boxs, qty "
+        f"FROM ({ORACLE_SQL['item_sales_for_customer']})"),
+}

@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DateLike = dt.date | str | None
 
+_ISO = re.compile(r"(\d{4}-\d{2}-\d{2})(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?")
+
 
 def parse_date(value: DateLike) -> dt.date | None:
-    """Parameter parsing (X5): ``None`` stays ``None``; text is ISO ``YYYY-MM-DD``."""
+    """Parameter parsing (X5): ``None`` stays ``None``; text is ISO
+    ``YYYY-MM-DD``, with or without a time of day; anything else raises."""
     if value is None or value == "":
         return None
     if isinstance(value, dt.datetime):
         return value.date()
     if isinstance(value, dt.date):
         return value
-    return dt.date.fromisoformat(str(value)[:10])
+    found = _ISO.fullmatch(str(value).strip())
+    if not found:
+        raise ValueError(f"not a date: {value!r}")
+    return dt.date.fromisoformat(found[1])
 
 
 def today() -> dt.date:
-    """``nowdate()``: resolved once on the driver, so one run sees one date."""
-    return dt.date.today()
+    """``nowdate()``: resolved once on the driver, so one run sees one date, in
+    UTC like the session."""
+    return dt.datetime.now(dt.timezone.utc).date()
 
 
 def default_from_date(ref: dt.date | None = None) -> dt.date:

@@ -1,58 +1,27 @@
 """Skew-safe lookup join.
 
 Order lines look up their customer's name and their item's grade: many
-lines per key on the left, at most one row per key on the right (the right
-side is aggregated by key first).  If one customer or item holds a third of
-all lines, a plain shuffle join sends that third to one task.  AQE cannot
-split it: the right side is an aggregate sitting on its own shuffle, not a
-shuffle stage of the join.
-
-The lookup is therefore salted: each left row gets a deterministic salt
-``pmod(xxhash64(<unique left columns>), buckets)``, the right side is
-repeated once per salt value, and the join key is ``(key, salt)``.  Every
-left row still meets exactly the right rows of its key, so the result is
-unchanged, and a hot key is spread over ``buckets`` tasks.  The salt is a
-hash of the row's own values, never ``rand()``, so a retried task (lost
-executor) rebuilds the same partitions.
-
-``buckets`` comes from the session conf ``tally.skew.saltBuckets``; by
-default it is ``min(32, spark.sql.shuffle.partitions)`` (a hot key cannot
-spread over more partitions than exist), and 1 turns salting off.  The
-right side grows by that factor, which is cheap because it is one row per
-customer or item.
+lines per key on the left, one row per key on the right (the right side is
+aggregated by key first).  If one customer or item holds a third of all
+lines, a plain shuffle join sends that third to one task, and AQE cannot
+split it, because the aggregate lies between the right side's shuffle and the
+join.
+
+The join is therefore made on ``struct(key)``: the aggregate's partitioning
+does not serve that key, so both sides get a shuffle of their own directly
+below the join, and AQE splits the left partitions it measures as skewed.
+Nothing is copied or salted, an unskewed run pays one more shuffle of the
+small right side, and Spark's size check sees the right side's true size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALT_CONF = "tally.skew.saltBuckets"
-MAX_DEFAULT_BUCKETS = 32
-
-
-def salt_buckets(df: DataFrame) -> int:
-    conf = df.sparkSession.conf
-    value = conf.get(SALT_CONF, None)
-    if value:
-        return max(1, int(value))
-    parts = int(conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_DEFAULT_BUCKETS, parts))
-
 
-def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                how: str, salt_from: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """``left`` joined to ``right`` (at most a few rows per key) on
-    ``left_key == right_key``, with each key's left rows spread over
-    ``buckets`` partitions."""
-    n = buckets or salt_buckets(left)
-    cond = F.col(left_key) == F.col(right_key)
-    if n <= 1:
-        return left.join(right, cond, how)
-    salted_left = left.withColumn(
-        "_lsalt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(n)).cast("int"))
-    salted_right = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    joined = salted_left.join(salted_right, cond & (F.col("_lsalt") == F.col("_rsalt")), how)
-    return joined.drop("_lsalt", "_rsalt")
+def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str) -> DataFrame:
+    """``left`` joined to ``right`` (one row per key) on ``left_key == right_key``;
+    a NULL key matches nothing."""
+    known = right.where(F.col(right_key).isNotNull())
+    return left.join(known, F.struct(F.col(left_key).alias("k")) == F.struct(F.col(right_key).alias("k")), how)

@@ -38,7 +38,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions import adjustment_column, to_double, zero
-from tally.operators.joins import salt_buckets
 
 MONEY_COLS = ("opening_balance", "invoiced_amount", "return_amount", "paid_amount", "closing_balance")
 
@@ -61,51 +60,34 @@ def with_customer_name(df: DataFrame, mapping: DataFrame, code_col: str = "party
     return df.join(m, F.col(code_col) == F.col("_code"), "left").drop("_code")
 
 
-def flag_returns(df: DataFrame, returns: DataFrame, voucher_col: str,
-                 spread_col: str | None = None,
-                 salt_from: Sequence[str] | None = None) -> DataFrame:
+def flag_returns(df: DataFrame, returns: DataFrame, voucher_col: str, spread_col: str) -> DataFrame:
     """Adds boolean ``is_return`` = voucher is a return invoice.
 
-    A left join to the *distinct* names (membership, never a fan-out).
-    With ``spread_col``, rows whose voucher is NULL get the join key
+    A left join to the names: ``name`` is the primary key of the invoices, so
+    it never fans out, and both sides are plain shuffles, so AQE can split a
+    hot voucher.  Rows whose voucher is NULL get the join key
     ``'\\0' + spread_col`` instead of NULL, so they hash across partitions
     rather than into one; the ``voucher IS NOT NULL`` join condition keeps
-    them from ever matching.  With ``salt_from`` (raw rows, where one voucher
-    may hold a large share) the join is also salted: each row takes
-    ``hash(salt_from) mod n`` and the names are repeated ``n`` times
-    (``joins.salt_buckets``), so a hot voucher spreads over ``n`` tasks.
+    them from ever matching.
     """
-    names = returns.select(F.col("name").alias("_ret_name")).distinct().withColumn("_hit", F.lit(True))
+    names = returns.select(F.col("name").alias("_ret_name"), F.lit(True).alias("_hit"))
     voucher = F.col(voucher_col)
-    key = voucher
-    if spread_col is not None:
-        spread = F.concat(F.lit("\u0000"), F.collate(F.col(spread_col), "UTF8_BINARY"))
-        key = F.coalesce(voucher, spread)
-    df = df.withColumn("_jk", key)
+    spread = F.concat(F.lit("\u0000"), F.collate(F.col(spread_col), "UTF8_BINARY"))
     cond = (F.col("_jk") == F.col("_ret_name")) & voucher.isNotNull()
-    n = salt_buckets(df) if salt_from else 1
-    if n > 1:
-        df = df.withColumn(
-            "_lsalt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(n)).cast("int"))
-        names = names.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        cond = cond & (F.col("_lsalt") == F.col("_rsalt"))
     return (
-        df.join(names, cond, "left")
+        df.withColumn("_jk", F.coalesce(voucher, spread)).join(names, cond, "left")
         .withColumn("is_return", F.coalesce(F.col("_hit"), F.lit(False)))
-        .drop("_ret_name", "_hit", "_jk", "_lsalt", "_rsalt")
+        .drop("_ret_name", "_hit", "_jk")
     )
 
 
 def classify(entries: DataFrame, returns: DataFrame, from_date: dt.date, party_type: str) -> DataFrame:
     """P1 per entry: ``amount`` and ``bucket`` (opening/invoiced/return/paid).
 
-    Raw entries meet the return names here, so the lookup is salted by the
-    entry's own values and NULL vouchers are spread by party.
+    Raw entries meet the return names here; NULL vouchers are spread by party.
     """
     amt = signed_amount(party_type)
-    cols = [c for c in ("party", "voucher_no", "posting_date", "debit", "credit") if c in entries.columns]
-    flagged = flag_returns(entries.withColumn("amount", amt), returns, "voucher_no",
-                           spread_col="party", salt_from=cols)
+    flagged = flag_returns(entries.withColumn("amount", amt), returns, "voucher_no", spread_col="party")
     bucket = (
         F.when(is_opening(from_date), "opening")
         .when(F.col("amount") > 0, "invoiced")
@@ -166,12 +148,13 @@ def adjustment_totals(adjustments: DataFrame, accounts: Sequence[str]) -> DataFr
     """A8 input: per customer name the total and one column per listed account.
 
     Conditional sums in one aggregate (the pivot over a given account list,
-    without a job to discover the accounts).
+    without a job to discover the accounts).  Of accounts that share a column
+    name the last one's sum is kept.
     """
     cols = [F.sum("amount").alias("_adj_total")]
     cols += [
-        F.sum(F.when(F.col("account") == F.lit(a), F.col("amount"))).alias(adjustment_column(a))
-        for a in accounts
+        F.sum(F.when(F.col("account") == F.lit(a), F.col("amount"))).alias(c)
+        for c, a in {adjustment_column(a): a for a in accounts}.items()
     ]
     return adjustments.groupBy(F.col("customer_name").alias("_adj_name")).agg(*cols)
 
@@ -184,8 +167,7 @@ def apply_adjustments(summary: DataFrame, adjustments: DataFrame, accounts: Sequ
     adj = adjustment_totals(adjustments, accounts)
     joined = summary.join(adj, summary["customer_name"].eqNullSafe(adj["_adj_name"]), "left")
     out = joined.withColumn("paid_amount", F.col("paid_amount") - F.coalesce(F.col("_adj_total"), zero()))
-    for a in accounts:
-        c = adjustment_column(a)
+    for c in dict.fromkeys(adjustment_column(a) for a in accounts):
         out = out.withColumn(c, F.coalesce(F.col(c), zero()))
     return out.drop("_adj_name", "_adj_total")
 

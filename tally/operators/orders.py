@@ -10,11 +10,13 @@ Here each right side is reduced to one row per join key *before* the join
 (a partial + final aggregate, so a hot line or item is combined map-side),
 carrying its match count.  The customer lookup is made on the orders, not
 the lines (it depends only on the order), and the customer and grade
-lookups are salted (``joins.lookup_join``) so a hot customer or item is
-spread over many tasks.  The join then never multiplies rows, no group of
+lookups go through ``joins.lookup_join`` so AQE can split a hot customer or
+item.  The join then never multiplies rows, no group of
 raw invoice rows is ever shuffled as a whole, and the billed quantity is
 ``coalesce(billed_raw * mapped * graded, 0)``: exactly the reference's sum,
-done in DECIMAL so the grouping order cannot change it.
+done in DECIMAL so the grouping order cannot change it, with nine decimals
+kept to the end (an overflow raises).  Reports with a narrow filter first cut
+the invoice, grade and delivery rows to the selected lines by a semi join.
 
 ``sales_order_item.name`` is the line's primary key, so after these joins
 every line is already one row and no final GROUP BY (shuffle) is needed.
@@ -32,7 +34,10 @@ from tally.functions import days_between, seconds_between
 from tally.operators import filters as flt
 from tally.operators.joins import lookup_join
 
-QTY = DecimalType(38, 9)
+# The sum of QTY has 31 digits; times a factor of 6 that makes 38 with scale 9,
+# so the product is never rounded.
+QTY = DecimalType(21, 9)
+FACTOR = DecimalType(6, 0)
 
 
 def orders_view(sales_order: DataFrame) -> DataFrame:
@@ -60,9 +65,14 @@ def mapping_by_code(mapping: DataFrame) -> DataFrame:
     )
 
 
-def billed_by_line(sales_invoice_item: DataFrame) -> DataFrame:
-    """A4 before the join (S6, F16): submitted invoice quantity per line."""
-    return flt.submitted_invoice_items(sales_invoice_item).groupBy(
+def billed_by_line(sales_invoice_item: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """A4 before the join (S6, F16): submitted invoice quantity per line, of
+    the lines ``only`` (a frame with ``soi_name``) where given."""
+    rows = flt.submitted_invoice_items(sales_invoice_item)
+    if only is not None:
+        names = only.select(F.col("soi_name").alias("_only"))
+        rows = rows.join(names, F.col("so_detail") == F.col("_only"), "left_semi")
+    return rows.groupBy(
         F.col("so_detail").alias("_so_detail")
     ).agg(F.sum(F.col("qty").cast(QTY)).alias("_billed_raw"))
 
@@ -74,24 +84,24 @@ def grade_by_item(item_variant_attribute: DataFrame) -> DataFrame:
     ).agg(F.min("attribute_value").alias("grade"), F.count(F.lit(1)).alias("_graded"))
 
 
-def with_billed(lines: DataFrame, sales_invoice_item: DataFrame) -> DataFrame:
-    """Left join of the per-line invoice sums."""
-    billed = billed_by_line(sales_invoice_item)
+def with_billed(lines: DataFrame, sales_invoice_item: DataFrame, narrow: bool = False) -> DataFrame:
+    """Left join of the per-line invoice sums; ``narrow`` says that
+    ``lines`` are few, so the invoice rows are cut to them before summing."""
+    billed = billed_by_line(sales_invoice_item, lines if narrow else None)
     return lines.join(billed, F.col("soi_name") == F.col("_so_detail"), "left").drop("_so_detail")
 
 
 def with_mapping(orders: DataFrame, mapping: DataFrame, inner: bool = False) -> DataFrame:
-    """Customer name by the order's customer code (inner for F7).
-    Salted by order, so one customer with a third of the orders is split."""
+    """Customer name by the order's customer code (inner for F7)."""
     m = mapping_by_code(mapping)
     how = "inner" if inner else "left"
-    return lookup_join(orders, m, "customer", "_code", how, salt_from=["sales_order"]).drop("_code")
+    return lookup_join(orders, m, "customer", "_code", how).drop("_code")
 
 
 def with_grade(lines: DataFrame, item_variant_attribute: DataFrame) -> DataFrame:
-    """Grade of the line's item (left).  Salted by line, like J4."""
+    """Grade of the line's item (left)."""
     g = grade_by_item(item_variant_attribute)
-    return lookup_join(lines, g, "item_code", "_item", "left", salt_from=["soi_name"]).drop("_item")
+    return lookup_join(lines, g, "item_code", "_item", "left").drop("_item")
 
 
 def delivery_status(lines: DataFrame, as_of: dt.date) -> DataFrame:
@@ -106,7 +116,7 @@ def billed_qty(with_grade_factor: bool) -> F.Column:
     factor = F.coalesce(F.col("_mapped"), F.lit(1))
     if with_grade_factor:
         factor = factor * F.coalesce(F.col("_graded"), F.lit(1))
-    return F.coalesce(F.col("_billed_raw") * factor, F.lit(0).cast(QTY)).cast("double")
+    return F.coalesce(F.col("_billed_raw") * factor.cast(FACTOR), F.lit(0).cast(QTY)).cast("double")
 
 
 def line_record(df: DataFrame, with_grade_col: bool) -> DataFrame:
@@ -132,9 +142,14 @@ def line_record(df: DataFrame, with_grade_col: bool) -> DataFrame:
     return df.select(*cols)
 
 
-def last_delivery(delivery_note: DataFrame, delivery_note_item: DataFrame) -> DataFrame:
+def last_delivery(delivery_note: DataFrame, delivery_note_item: DataFrame,
+                  only: DataFrame | None = None) -> DataFrame:
     """J8 + J9 + A5 (+ F15's ``dn.docstatus = 1``): last submitted delivery
-    date per order line.  Lines without one drop out, as the WHERE does."""
+    date per order line, of the lines ``only`` (a frame with ``soi_name``)
+    where given.  Lines without one drop out, as the WHERE does."""
+    if only is not None:
+        names = only.select(F.col("soi_name").alias("_only"))
+        delivery_note_item = delivery_note_item.join(names, F.col("so_detail") == F.col("_only"), "left_semi")
     dn = flt.submitted_delivery_notes(delivery_note).select(
         F.col("name").alias("_dn"), F.col("posting_date").alias("_dn_date")
     )

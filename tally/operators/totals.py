@@ -1,11 +1,12 @@
 """The report's total row.
 
 The reference asks its framework for a total row over the numeric columns
-(and its print view re-sums the detail rows).  A report adds a one-row
-global aggregate of its kept rows (partial sums per task, one tiny final
-task) with ``unionByName``; an empty report gets no total row.  The frame
-gains ``is_total`` (1 on the total), because the total row and the NULL
-customer group both have a NULL name.
+(and its print view re-sums the detail rows).  Here one aggregate with the
+grouping sets ``((key), ())`` over the kept rows gives both: the rows are
+computed once, the total is summed map-side, and an empty report gets no
+total row (a grouping set of no rows has no group).  The frame gains
+``is_total`` (1 on the total), because the total row and the NULL customer
+group both have a NULL name.
 """
 
 from __future__ import annotations
@@ -16,18 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def total_row(df: DataFrame, sums: Sequence[str]) -> DataFrame:
-    """One row with the sum of each column in ``sums``, or no row at all when
-    ``df`` is empty (an empty report has no total row)."""
-    return (
-        df.agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > 0)
-        .drop("_rows")
+def with_total_row(detail: DataFrame, key: str, sums: Sequence[str]) -> DataFrame:
+    """``detail`` (one row per ``key``) and the row of the totals of ``sums``;
+    the total has NULL in all other columns."""
+    others = [c for c in detail.columns if c != key and c not in sums]
+    grouped = detail.groupingSets([[F.col(key)], []], F.col(key)).agg(
+        F.grouping_id().alias("_gid"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.first(F.struct(*others)).alias("_rest"),
     )
-
-
-def union_total(detail: DataFrame, total: DataFrame) -> DataFrame:
-    """Detail rows (``is_total`` 0) followed by the total row (``is_total`` 1)."""
-    return detail.withColumn("is_total", F.lit(0)).unionByName(
-        total.withColumn("is_total", F.lit(1)), allowMissingColumns=True
+    detail_only = lambda c: F.when(F.col("_gid") == 0, F.col("_rest")[c]).alias(c)
+    return grouped.select(
+        *[detail_only(c) if c in others else F.col(c) for c in detail.columns],
+        F.when(F.col("_gid") == 0, 0).otherwise(1).alias("is_total"),
     )

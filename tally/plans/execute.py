@@ -1,8 +1,9 @@
 """Run a report by its name with the reference's filters dict.
 
 A caller that used to call a report's ``execute(filters)`` passes the same
-dict here and gets the report as a DataFrame.  Every report gets its total
-row, as the reference asks for one on each.  Keys of the dict: ``from_date``,
+dict here and gets the report's declared columns (labels in the field
+metadata) and ``is_total`` as a DataFrame; ``raw=True`` gives all computed
+columns.  Every report gets its total row, as the reference asks for one on each.  Keys of the dict: ``from_date``,
 ``to_date``, ``company``, ``customer``, ``finance_book``, ``item``.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from tally.functions.dates import DateLike
 from tally.plans import reports as rep
+from tally.plans.display import display
 from tally.plans.params import LedgerParams, OrderParams
 from tally.sources.tables import ErpTables
 
@@ -42,6 +44,14 @@ def _orders(filters: Mapping[str, Any], as_of: DateLike) -> OrderParams:
 
 Runner = Callable[[ErpTables, Mapping[str, Any], str | None, DateLike, bool], DataFrame]
 
+DISPLAYED: dict[str, str] = {
+    CUSTOMER_FINANCIAL_STATUS: "customer_financial_status",
+    CUSTOMER_BALANCE_SUMMARY: "customer_balance_summary",
+    CUSTOMER_RECEIPTS: "customer_receipts",
+    ITEM_SALES_FOR_PERIOD: "item_sales_for_period",
+    ITEM_SALES_FOR_CUSTOMER: "item_sales_for_customer",
+}
+
 REPORTS: dict[str, Runner] = {
     CUSTOMER_FINANCIAL_STATUS: lambda t, f, dc, a, tot: rep.customer_financial_status(t, _ledger(f, dc), tot),
     CUSTOMER_BALANCE_SUMMARY: lambda t, f, dc, a, tot: rep.customer_balance_summary(t, _ledger(f, dc), tot),
@@ -53,10 +63,11 @@ REPORTS: dict[str, Runner] = {
 
 def execute(t: ErpTables, report: str, filters: Mapping[str, Any] | None = None, *,
             default_company: str | None = None, as_of: DateLike = None,
-            with_total: bool = ADD_TOTAL_ROW) -> DataFrame:
+            with_total: bool = ADD_TOTAL_ROW, raw: bool = False) -> DataFrame:
     """The named report over ``t`` for ``filters`` (a lazy DataFrame)."""
     try:
         run = REPORTS[report]
     except KeyError:
         raise ValueError(f"unknown report {report!r}; known: {sorted(REPORTS)}") from None
-    return run(t, dict(filters or {}), default_company, as_of, with_total)
+    df = run(t, dict(filters or {}), default_company, as_of, with_total)
+    return df if raw else display(df, DISPLAYED[report], keep=("is_total",))

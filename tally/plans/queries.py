@@ -33,27 +33,12 @@ ITEM = "ITEM-5"
 AS_OF = "2002-01-01"
 ADJUSTMENT_ACCOUNTS = ("Write Off", "Round-Off")
 
-Query = Callable[[SparkSession, str], DataFrame]
+Query = Callable[..., DataFrame]  # (spark, sf_dir, tables=None)
 
 
-_TABLES: dict[tuple[int, str], tuple[SparkSession, ErpTables]] = {}
-
-
-def use_tables(spark: SparkSession, sf_dir: str, tables: ErpTables) -> None:
-    """Run the registered queries for ``sf_dir`` over ``tables`` instead of the
-    derived views (e.g. ERP tables already stored as parquet)."""
-    _TABLES[(id(spark), sf_dir)] = (spark, tables)
-
-
-def _tables(spark: SparkSession, sf_dir: str) -> ErpTables:
-    """The derived table set of ``sf_dir``, built lazily and kept per session,
-    so a run of many reports lists and analyses each source once."""
-    key = (id(spark), sf_dir)
-    hit = _TABLES.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = (spark, erp_tables(tune(spark), sf_dir))
-        _TABLES[key] = hit
-    return hit[1]
+def _tables(spark: SparkSession, sf_dir: str, tables: ErpTables | None) -> ErpTables:
+    """The caller's tables, else those derived from ``sf_dir``, listed anew in each call."""
+    return tables or erp_tables(tune(spark), sf_dir)
 
 
 def _ledger(**kw) -> LedgerParams:
@@ -68,79 +53,79 @@ def _orders(**kw) -> OrderParams:
 
 # ----------------------------------------------------------------- reports
 
-def customer_financial_status(spark, sf_dir):
-    return rep.customer_financial_status(_tables(spark, sf_dir), _ledger())
+def customer_financial_status(spark, sf_dir, tables=None):
+    return rep.customer_financial_status(_tables(spark, sf_dir, tables), _ledger())
 
 
-def customer_financial_status_for_customer(spark, sf_dir):
-    return rep.customer_financial_status(_tables(spark, sf_dir), _ledger(customer=CUSTOMER))
+def customer_financial_status_for_customer(spark, sf_dir, tables=None):
+    return rep.customer_financial_status(_tables(spark, sf_dir, tables), _ledger(customer=CUSTOMER))
 
 
-def customer_balance_summary(spark, sf_dir):
-    return rep.customer_balance_summary(_tables(spark, sf_dir), _ledger())
+def customer_balance_summary(spark, sf_dir, tables=None):
+    return rep.customer_balance_summary(_tables(spark, sf_dir, tables), _ledger())
 
 
-def customer_receipts(spark, sf_dir):
-    return rep.customer_receipts(_tables(spark, sf_dir), _ledger())
+def customer_receipts(spark, sf_dir, tables=None):
+    return rep.customer_receipts(_tables(spark, sf_dir, tables), _ledger())
 
 
-def customer_receipts_for_customer(spark, sf_dir):
-    return rep.customer_receipts(_tables(spark, sf_dir), _ledger(customer=CUSTOMER))
+def customer_receipts_for_customer(spark, sf_dir, tables=None):
+    return rep.customer_receipts(_tables(spark, sf_dir, tables), _ledger(customer=CUSTOMER))
 
 
-def customer_receipts_for_finance_book(spark, sf_dir):
-    return rep.customer_receipts(_tables(spark, sf_dir), _ledger(finance_book=FINANCE_BOOK))
+def customer_receipts_for_finance_book(spark, sf_dir, tables=None):
+    return rep.customer_receipts(_tables(spark, sf_dir, tables), _ledger(finance_book=FINANCE_BOOK))
 
 
-def item_sales_for_period(spark, sf_dir):
-    return rep.item_sales_for_period(_tables(spark, sf_dir), _orders())
+def item_sales_for_period(spark, sf_dir, tables=None):
+    return rep.item_sales_for_period(_tables(spark, sf_dir, tables), _orders())
 
 
-def item_sales_for_item(spark, sf_dir):
-    return rep.item_sales_for_period(_tables(spark, sf_dir), _orders(item=ITEM))
+def item_sales_for_item(spark, sf_dir, tables=None):
+    return rep.item_sales_for_period(_tables(spark, sf_dir, tables), _orders(item=ITEM))
 
 
-def item_sales_for_customer(spark, sf_dir):
-    return rep.item_sales_for_customer(_tables(spark, sf_dir), _orders(customer=CUSTOMER))
+def item_sales_for_customer(spark, sf_dir, tables=None):
+    return rep.item_sales_for_customer(_tables(spark, sf_dir, tables), _orders(customer=CUSTOMER))
 
 
-def so_elapsed_time(spark, sf_dir):
-    return rep.so_elapsed_time(_tables(spark, sf_dir))
+def so_elapsed_time(spark, sf_dir, tables=None):
+    return rep.so_elapsed_time(_tables(spark, sf_dir, tables))
 
 
-def so_elapsed_time_for_report(spark, sf_dir):
+def so_elapsed_time_for_report(spark, sf_dir, tables=None):
     """R6 for the orders of an item-sales report (semi join, not an IN list)."""
-    t = _tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, tables)
     return rep.so_elapsed_time(t, rep.item_sales_orders(t, _orders()))
 
 
 # ------------------------------------------------------------------ totals
 
-def customer_financial_status_with_total(spark, sf_dir):
-    return rep.customer_financial_status(_tables(spark, sf_dir), _ledger(), with_total=True)
+def customer_financial_status_with_total(spark, sf_dir, tables=None):
+    return rep.customer_financial_status(_tables(spark, sf_dir, tables), _ledger(), with_total=True)
 
 
-def customer_balance_summary_with_total(spark, sf_dir):
-    return rep.customer_balance_summary(_tables(spark, sf_dir), _ledger(), with_total=True)
+def customer_balance_summary_with_total(spark, sf_dir, tables=None):
+    return rep.customer_balance_summary(_tables(spark, sf_dir, tables), _ledger(), with_total=True)
 
 
-def customer_receipts_with_total(spark, sf_dir):
-    return rep.customer_receipts(_tables(spark, sf_dir), _ledger(), with_total=True)
+def customer_receipts_with_total(spark, sf_dir, tables=None):
+    return rep.customer_receipts(_tables(spark, sf_dir, tables), _ledger(), with_total=True)
 
 
-def item_sales_for_period_with_total(spark, sf_dir):
-    return rep.item_sales_for_period(_tables(spark, sf_dir), _orders(), with_total=True)
+def item_sales_for_period_with_total(spark, sf_dir, tables=None):
+    return rep.item_sales_for_period(_tables(spark, sf_dir, tables), _orders(), with_total=True)
 
 
-def item_sales_for_customer_with_total(spark, sf_dir):
-    return rep.item_sales_for_customer(_tables(spark, sf_dir), _orders(customer=CUSTOMER),
+def item_sales_for_customer_with_total(spark, sf_dir, tables=None):
+    return rep.item_sales_for_customer(_tables(spark, sf_dir, tables), _orders(customer=CUSTOMER),
                                        with_total=True)
 
 
 # -------------------------------------------------------------- primitives
 
-def _party_entries(spark, sf_dir, period_only: bool):
-    t = _tables(spark, sf_dir)
+def _party_entries(spark, sf_dir, tables, period_only: bool):
+    t = _tables(spark, sf_dir, tables)
     p = _ledger()
     gl = flt.for_party_type(flt.posted(t.gl_entry), p.party_type)
     if period_only:
@@ -158,16 +143,16 @@ def _party_entries(spark, sf_dir, period_only: bool):
     )
 
 
-def gl_party_entries(spark, sf_dir):
-    return _party_entries(spark, sf_dir, period_only=False)
+def gl_party_entries(spark, sf_dir, tables=None):
+    return _party_entries(spark, sf_dir, tables, period_only=False)
 
 
-def gl_party_entries_in_period(spark, sf_dir):
-    return _party_entries(spark, sf_dir, period_only=True)
+def gl_party_entries_in_period(spark, sf_dir, tables=None):
+    return _party_entries(spark, sf_dir, tables, period_only=True)
 
 
-def gl_classified_entries(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def gl_classified_entries(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     p = _ledger()
     entries = rep.ledger_entries(t, p, period_only=False)
     returns = flt.return_invoices(t.sales_invoice, p.from_date)
@@ -179,20 +164,20 @@ def gl_classified_entries(spark, sf_dir):
     )
 
 
-def return_invoices(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def return_invoices(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     return flt.return_invoices(t.sales_invoice, _ledger().from_date)
 
 
-def open_sales_orders(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def open_sales_orders(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     p = _orders()
     so = flt.in_period(flt.open_orders(t.sales_order), "transaction_date", p.from_date, p.to_date)
     return so.select("name", "customer", "transaction_date", "status", "company")
 
 
-def so_line_billed_qty(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def so_line_billed_qty(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     lines = t.sales_order_item.select(F.col("name").alias("soi_name"))
     billed = ords.with_billed(lines, t.sales_invoice_item)
     return billed.select(
@@ -201,40 +186,55 @@ def so_line_billed_qty(spark, sf_dir):
     )
 
 
-def so_line_delivery_status(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def so_line_delivery_status(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     lines = t.sales_order_item.select(
         F.col("name").alias("soi_name"), "item_code", "delivery_date", "qty", "delivered_qty")
     return ords.delivery_status(lines, _orders().as_of)
 
 
-def item_grade(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def item_grade(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     return ords.grade_by_item(t.item_variant_attribute).select(
         F.col("_item").alias("item_code"), "grade")
 
 
-def company_currency(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def company_currency(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     return t.company.select(F.col("name").alias("company"), F.col("default_currency").alias("currency"))
 
 
-def supplier_ledger_summary(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def supplier_ledger_summary(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     return rep.customer_financial_status(t, _ledger(party_type="Supplier")).withColumnRenamed(
         "customer_name", "party_name")
 
 
-def customer_status_with_adjustments(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def customer_status_with_adjustments(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     return rep.customer_status_with_adjustments(t, _ledger(), ADJUSTMENT_ACCOUNTS)
 
 
-def item_sales_display(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+def item_sales_display(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
     return display(rep.item_sales_for_period(t, _orders()), "item_sales_for_period")
 
 
+def item_sales_for_customer_display(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
+    return display(rep.item_sales_for_customer(t, _orders(customer=CUSTOMER)), "item_sales_for_customer")
+
+
+def customer_status_display(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
+    return display(rep.customer_financial_status(t, _ledger()), "customer_financial_status")
+
+
+def customer_receipts_display(spark, sf_dir, tables=None):
+    t = _tables(spark, sf_dir, tables)
+    return display(rep.customer_receipts(t, _ledger()), "customer_receipts")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -266,5 +266,8 @@ QUERIES: dict[str, Query] = {
         supplier_ledger_summary,
         customer_status_with_adjustments,
         item_sales_display,
+        item_sales_for_customer_display,
+        customer_status_display,
+        customer_receipts_display,
     )
 }

@@ -17,7 +17,7 @@ from tally.functions import ymd
 from tally.operators import filters as flt
 from tally.operators import ledger as led
 from tally.operators import orders as ords
-from tally.operators.totals import total_row, union_total
+from tally.operators.totals import with_total_row
 from tally.plans.display import display
 from tally.plans.params import LedgerParams, OrderParams
 from tally.sources.tables import ErpTables
@@ -84,11 +84,7 @@ def ledger_report(t: ErpTables, p: LedgerParams, *, period_only: bool = False,
         summary = led.apply_adjustments(summary, adjustments, adjustment_accounts)
         extra = [c for c in summary.columns if c.startswith("adj_")]
     if with_total:
-        # A7 over the kept (and adjusted) rows: a one-row global aggregate of
-        # the same frame (its stages are reused), none when nothing is kept.
-        total = total_row(summary, [*led.MONEY_COLS, *extra]).withColumn(
-            "first_posting_date", F.lit(None).cast("date"))
-        summary = union_total(summary, total)
+        summary = with_total_row(summary, "customer_name", [*led.MONEY_COLS, *extra])
     summary = summary.withColumn("currency", company_currency_col(t, p.company))
     order = [F.col("first_posting_date").asc(), F.col("customer_name").asc_nulls_first()]
     if with_total:
@@ -160,17 +156,19 @@ def item_sales(t: ErpTables, p: OrderParams, with_grade: bool, with_total: bool
     lines = flt.for_item(ords.order_lines(_named_orders(t, p, customer), t.sales_order_item), item)
     if p.is_empty:  # V3: no filter at all -> empty report, schema kept
         lines = lines.where(F.lit(False))
-    detail = ords.with_billed(lines, t.sales_invoice_item)
+    narrow = item is not None or customer is not None
+    detail = ords.with_billed(lines, t.sales_invoice_item, narrow)
     if with_grade:
-        detail = ords.with_grade(detail, t.item_variant_attribute)
+        grades = t.item_variant_attribute
+        detail = ords.with_grade(detail, grades if item is None else grades.where(F.col("parent") == F.lit(item)))
     detail = ords.line_record(ords.delivery_status(detail, p.as_of), with_grade)
     order = [F.col("date").asc(), F.col("item_code").asc(), F.col("soi_name").asc()]
     if not with_total:
         return detail.orderBy(*order)
-    # Rows never repeat a line, so the total is the plain sum of the listed
-    # lines' quantities, without the lookups.
-    total = total_row(_report_lines(t, p, with_grade), ["qty"])
-    return union_total(detail, total).orderBy(F.col("is_total").asc(), *order)
+    # Rows never repeat a line; DECIMAL keeps the sum free of the order of addition.
+    exact = detail.withColumn("qty", F.col("qty").cast(ords.QTY))
+    totalled = with_total_row(exact, "soi_name", ["qty"]).withColumn("qty", F.col("qty").cast("double"))
+    return totalled.orderBy(F.col("is_total").asc(), *order)
 
 
 def _report_lines(t: ErpTables, p: OrderParams, with_grade: bool) -> DataFrame:
@@ -215,5 +213,5 @@ def so_elapsed_time(t: ErpTables, order_names: DataFrame | None = None) -> DataF
         names = order_names.select(F.col("sales_order").alias("_so")).distinct()
         so = so.join(names, F.col("name") == F.col("_so"), "left_semi")
     lines = ords.order_lines(ords.orders_view(so), t.sales_order_item)
-    last = ords.last_delivery(t.delivery_note, t.delivery_note_item)
+    last = ords.last_delivery(t.delivery_note, t.delivery_note_item, None if order_names is None else lines)
     return ords.elapsed_by_order_item(lines, last)

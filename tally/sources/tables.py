@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tally.sources.schemas import SCHEMAS, conform
@@ -88,8 +89,8 @@ def from_parquet(spark: SparkSession, root: str) -> ErpTables:
         def read() -> DataFrame:
             try:
                 return spark.read.parquet(f"{base}/{name}")
-            except Exception:  # noqa: BLE001 - only the optional table may be absent
-                if name != "party_adjustment":
+            except AnalysisException as e:  # only the optional table may be absent; any other fault raises
+                if name != "party_adjustment" or e.getCondition() != "PATH_NOT_FOUND":
                     raise
                 return empty(spark, name)
         return read

@@ -41,7 +41,12 @@ def running_balances(entries: DataFrame, t: ErpTables, p: LedgerParams) -> DataF
     """Streaming R1: per customer name the five buckets of all entries seen
     so far (up to ``p.to_date``).  ``is_suppressed`` marks names the batch
     report would drop (all buckets zero); keep the latest row per name and
-    drop those to get the batch report."""
+    drop those to get the batch report.
+
+    An entry is classified when it arrives: a return invoice or mapping stored
+    after its entry was handled does not change that entry's bucket or name.
+    The result equals the batch report only where those tables precede their
+    entries."""
     gl = flt.for_party_type(flt.posted(entries), p.party_type)
     gl = flt.for_company(flt.up_to(gl, "posting_date", p.to_date), p.company)
     gl = gl.select("posting_date", "party", "voucher_no", "debit", "credit", "is_opening")
@@ -79,10 +84,11 @@ def running_balances(entries: DataFrame, t: ErpTables, p: LedgerParams) -> DataF
     return led.money_to_double(summary, led.MONEY_COLS)
 
 
-def start(balances: DataFrame, checkpoint_location: str, sink: str = "memory",
+def start(balances: DataFrame, checkpoint_location: str, sink: str,
           query_name: str = "customer_balances", trigger_seconds: int | None = None,
           **options: str) -> StreamingQuery:
-    """Start the running-balance query in ``update`` mode."""
+    """Start the running-balance query in ``update`` mode (``sink`` is a format
+    name; ``memory`` keeps every row on the driver and is for tests)."""
     writer = (
         balances.writeStream.outputMode("update")
         .format(sink)

@@ -1,5 +1,5 @@
 """Two-engine check: each registered query against its DuckDB oracle
-(order-insensitive, doubles to 4 decimals) on the smallest scale."""
+(order-insensitive, exact values and types) on the smallest scale."""
 
 import pytest
 
@@ -24,7 +24,7 @@ def test_matches_oracle(spark, con, key):
     r = cmp.compare(spark, key, SF_SMALL, con)
     assert r["columns_match"], r
     assert r["spark_rows"] == r["oracle_rows"], r
-    assert r["values_match"], r
+    assert r["values_match"] and r["exact_match"] and r["types_match"], r
 
 
 def test_entry_smoke(spark):

@@ -69,8 +69,18 @@ def test_ledger_is_pre_aggregated_before_any_join(spark):
     assert any("Left keys [1]: [_jk" in s for s in _sections(text))
 
 
-def test_order_lookups_are_salted(spark):
-    text = plan_text(QUERIES["item_sales_for_period"](spark, SF_SMALL))
-    assert text.count(") Generate") == 2
-    assert any("Left keys [2]: [customer" in s and "_lsalt" in s for s in _sections(text))
-    assert any("Left keys [2]: [item_code" in s and "_lsalt" in s for s in _sections(text))
+def test_no_row_is_copied_in_an_unskewed_plan(spark):
+    for key in ("item_sales_for_period", "gl_classified_entries", "customer_financial_status"):
+        assert ") Generate" not in plan_text(QUERIES[key](spark, SF_SMALL))
+
+
+def test_totals_run_the_report_once(spark):
+    for key in ("customer_financial_status", "item_sales_for_period"):
+        plain, total = (plan_text(QUERIES[k](spark, SF_SMALL)) for k in (key, f"{key}_with_total"))
+        for node in (") Scan parquet", "Join "):
+            assert total.count(node) == plain.count(node), (key, node)
+
+
+def test_narrow_item_reports_cut_the_invoice_rows_first(spark):
+    for key in ("item_sales_for_item", "item_sales_for_customer", "so_elapsed_time_for_report"):
+        assert "LeftSemi" in plan_text(QUERIES[key](spark, SF_SMALL))

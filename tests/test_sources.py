@@ -96,3 +96,24 @@ def test_date_partitioned_layout_prunes_directories(spark, tmp_path):
         r3.explain(mode="formatted")
     scans = [l for l in buf.getvalue().splitlines() if l.startswith("PartitionFilters")]
     assert any("posting_date" in l and "2024-02-01" in l for l in scans), scans
+
+
+def test_only_an_absent_adjustment_table_reads_empty(spark, tmp_path):
+    (tmp_path / "party_adjustment").mkdir()
+    (tmp_path / "party_adjustment" / "part-0.parquet").write_bytes(b"not a parquet file")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        from_parquet(spark, str(tmp_path)).party_adjustment.count()
+
+
+@pytest.mark.parametrize("text", ["2024-01-015", "2024-01-01 garbage", "2024-1-1"])
+def test_dates_with_other_text_are_refused(text):
+    from tally.functions.dates import parse_date
+    with pytest.raises(ValueError):
+        parse_date(text)
+
+
+def test_dates_with_a_time_of_day():
+    import datetime as dt
+
+    from tally.functions.dates import parse_date
+    assert parse_date("2024-01-01 10:20:30.5") == parse_date("2024-01-01T10:20") == dt.date(2024, 1, 1)

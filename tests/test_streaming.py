@@ -21,7 +21,7 @@ def test_stream_matches_batch(spark, tmp_path):
     gl.where("posting_date < date'1996-01-01'").write.parquet(src + "/part=1")
     gl.where("posting_date >= date'1996-01-01'").write.parquet(src + "/part=2")
     stream = read_entries(spark, src + "/*", max_files_per_trigger=1)
-    q = start(running_balances(stream, t, p), str(tmp_path / "ckpt"), query_name="bal_test")
+    q = start(running_balances(stream, t, p), str(tmp_path / "ckpt"), sink="memory", query_name="bal_test")
     try:
         q.processAllAvailable()
     finally:
