@@ -24,8 +24,9 @@ learned terms and four weights) is all that reaches driver and workers.
 Defined results: null and empty texts match no clause and get the score of
 such texts; texts with equal words score equally whatever their id, language
 or source; a label table without rows of one class leaves the built-in terms
-and weights; repeated label rows of one id count as toxic if one is; empty
-tables give no rows.
+and weights; repeated label rows of one id count as toxic if one is; of
+documents that share an id the smallest text is learned from, and all are
+scored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.shared import documents, fresh
+from tally.llm.shared import documents, fresh, stored
 
 SAMPLE_ROWS = 16_000
 TERMS = 5_000
@@ -162,9 +163,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic")))
     chosen = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    sample = (
+    sample = stored(  # one text an id, so SAMPLE_ROWS texts at most; read once from ``docs``
         docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "id").select("text", "toxic"))  # SAMPLE_ROWS rows of two numbers
+        .join(F.broadcast(chosen), "id")  # SAMPLE_ROWS rows of two numbers
+        .groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+        .select("text", "toxic"), "toxicity-sample")
     totals = dict(sample.groupBy("toxic").count().collect())
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -188,6 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield out.assign(toxic=batch["toxic"].to_numpy())
 
     seen = sample.mapInPandas(measure, "f0 double, f1 double, f2 double, toxic int").toPandas()  # SAMPLE_ROWS at most
+    seen = seen.sort_values(list(seen.columns))  # sums in one order, so reruns agree to the last digit
     grammar.fitted = fit(seen[["f0", "f1", "f2"]].to_numpy(), seen["toxic"].to_numpy())
     return grammar
 

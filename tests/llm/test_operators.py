@@ -326,6 +326,17 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.keep_clean(docs, nolabels).count() == 18 and toxicity.keep_clean(nothing, labels).count() == 0
 
 
+def test_toxicity_learns_one_text_an_id(spark):
+    rows = [(i, "you gromble thing" if i % 5 == 0 else "a plain thing") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    hot = frame.unionByName(spark.range(3000).select(F.lit(10).cast("long").alias("doc_id"), F.lit("zzz").alias("text")))
+    once, often = toxicity.learn(frame, labels), toxicity.learn(hot, labels)
+    assert once.lexicon and (often.lexicon, often.fitted) == (once.lexicon, once.fitted)
+    scored = toxicity.score(hot, often, "s")
+    assert scored.count() == 3400 and scored.where("text = 'zzz' and s < 0.7").count() == 3000
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
