@@ -88,9 +88,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, ur
             F.length("rule_host").alias("a"), F.length("rule_path").alias("b"),
             (F.col("action") == "block").alias("c"),
             F.concat("rule_host", "rule_path").alias("rule"), F.col("action").alias("verdict"))).alias("best"))
-        .select("host", "path", "best.rule", "best.verdict"))
+        .select(F.col("host").alias("best_host"), F.col("path").alias("best_path"), "best.rule", "best.verdict"))
+    # joined on a struct, which the aggregate's partitioning does not serve: both sides get a shuffle
+    # directly below the join, so Spark can split a url with a third of the pages
     return (
-        parsed.join(best, ["host", "path"], "left")
+        parsed.join(best, F.struct(F.col("host").alias("h"), F.col("path").alias("p"))
+                    == F.struct(F.col("best_host").alias("h"), F.col("best_path").alias("p")), "left")
         .select(*keep, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")))
 
 
