@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tally.llm.components import connected_components
 from tally.llm.shared import cut, documents, fresh
+from tally.operators.joins import lookup_join
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 PREFIX_BITS = 10
@@ -182,7 +183,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id
         prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumn("root", F.coalesce("component", "fp")))
     smallest = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = roots.join(smallest, "root").select("fp", "component_id")
+    named = lookup_join(roots, smallest.withColumnRenamed("root", "of"), "root", "of", "inner").select(
+        "fp", "component_id")  # a component may hold a third of the fingerprints
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
