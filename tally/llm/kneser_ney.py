@@ -140,6 +140,12 @@ def _pair_bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(33))) * _M3 >> np.uint64(20)) % np.uint64(buckets)
 
 
+def _runs(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(number, start, end) of each run of equal numbers."""
+    starts = np.flatnonzero(np.diff(numbers, prepend=numbers[:1] + 1)) if len(numbers) else np.empty(0, np.int64)
+    return zip(numbers[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(numbers)])
+
+
 class Words:
     """The sorted word hashes: hash -> number, number -> count."""
 
@@ -210,10 +216,8 @@ def _count_pairs(root: str, shards: list, buckets: int):
             pairs, counts = np.unique((before << np.uint64(32)) | number[tokens], return_counts=True)
             bucket = _pair_bucket(pairs, buckets)
             order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             pairs, counts = pairs[order], counts[order].astype("<u4")
-            yield pd.DataFrame([(b, _packed(pairs[i:j]), _packed(counts[i:j]))
-                                for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j],
+            yield pd.DataFrame([(b, _packed(pairs[i:j]), _packed(counts[i:j])) for b, i, j in _runs(bucket[order])],
                                columns=["bucket", "pairs", "counts"])
 
     return run
@@ -233,16 +237,22 @@ _STATS = "bucket int, word_range long, followed binary, ways binary, after binar
 
 
 def _merge_pairs(root: str):
-    """One bucket: writes its pairs and counts, gives out what they say of the words."""
+    """One bucket: writes its pairs and counts (empty files where it has none),
+    gives out what they say of the words."""
+    columns = [f.split()[0] for f in _STATS.split(", ")]
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         pairs = np.concatenate([_unpacked(p, "<u8") for p in rows["pairs"]])
         counts = np.concatenate([_unpacked(c, "<u4") for c in rows["counts"]]).astype(np.int64)
+        files = Files(root)
+        if not len(pairs):
+            files.put(f"pair-{key[0]}", pairs)
+            files.put(f"pair-count-{key[0]}", counts)
+            return pd.DataFrame([], columns=columns)
         order = np.argsort(pairs, kind="stable")
         pairs, counts = pairs[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         pairs, counts = pairs[first], np.add.reduceat(counts, first)
-        files = Files(root)
         files.put(f"pair-{key[0]}", pairs)
         files.put(f"pair-count-{key[0]}", counts)
         before, word = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
@@ -259,7 +269,7 @@ def _merge_pairs(root: str):
                         b"".join(_packed(x.astype("<u4")) for x in f[2:]),
                         _packed(words[w].astype("<u4")) + _packed(after[w].astype("<u4")), 0, 0, 0, 0))
         out.append((key[0], -1, b"", b"", b"", *(int((counts == c).sum()) for c in (1, 2, 3, 4))))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in _STATS.split(", ")])
+        return pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -303,9 +313,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float,
 class Model:
     """What scoring needs beside the files."""
 
-    def __init__(self, root: str, shards: list, buckets: int, filled: set[int], tokens: int, high: tuple,
-                 low: tuple, uniform: float, pairs: int) -> None:
-        self.root, self.shards, self.buckets, self.filled, self.tokens = root, shards, buckets, filled, tokens
+    def __init__(self, root: str, shards: list, buckets: int, tokens: int, high: tuple, low: tuple, uniform: float,
+                 pairs: int) -> None:
+        self.root, self.shards, self.buckets, self.tokens = root, shards, buckets, tokens
         self.high, self.low, self.uniform, self.pairs = high, low, uniform, pairs
         self.size = sum(s[2] for s in shards)
 
@@ -344,11 +354,10 @@ class Model:
         distinct, inverse = np.unique(pairs, return_inverse=True)
         bucket, counts = _pair_bucket(distinct, self.buckets), np.zeros(len(distinct), np.int64)
         order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=np.uint64))
-        for b, (i, j) in enumerate(zip(bounds, bounds[1:])):
-            if i == j or b not in self.filled:
-                continue
+        for b, i, j in _runs(bucket[order]):
             known, mine = words.files.get(f"pair-{b}", np.uint64), order[i:j]
+            if not len(known):
+                continue
             at = np.minimum(np.searchsorted(known, distinct[mine]), len(known) - 1)
             hit = known[at] == distinct[mine]
             counts[mine[hit]] = words.files.get(f"pair-count-{b}", np.int64)[at[hit]]
@@ -370,17 +379,18 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     if size > 2 ** 32 - 2:
         raise ValueError(f"{size} distinct words; word numbers have 32 bits")
     buckets = max(LEAST_BUCKETS, math.ceil(tokens / BUCKET_TOKENS))
+    none = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("pairs"),
+                                       F.lit(b"").alias("counts"))  # so that every bucket gets its files
     said = stored(
         texts.mapInPandas(_count_pairs(root, shards, buckets), "bucket int, pairs binary, counts binary")
-        .groupBy("bucket").applyInPandas(_merge_pairs(root), _STATS), "kneser-ney-stats")
+        .unionByName(none).groupBy("bucket").applyInPandas(_merge_pairs(root), _STATS), "kneser-ney-stats")
     high = said.where("word_range < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4")]).first()
     low = (said.where("word_range >= 0").groupBy("word_range")
            .applyInPandas(_merge_words(root, size), "n1 long, n2 long, n3 long, n4 long, n3plus long, pairs long")
            .agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "n3plus", "pairs")]).first())
     d_low = discounts(*low[:4])
     left = d_low[1] * low[0] + d_low[2] * low[1] + d_low[3] * low[4]
-    filled = {r["bucket"] for r in said.where("word_range < 0").select("bucket").collect()}  # bucket numbers only
-    return Model(root, shards, buckets, filled, tokens, discounts(*high), d_low,
+    return Model(root, shards, buckets, tokens, discounts(*high), d_low,
                  left / max(low[5], 1) / (size + 1), max(low[5], 1))
 
 
