@@ -11,7 +11,9 @@ Scale: no window ever holds a source.  Counts are first aggregated by
 (source, size, first hash digits), the prefix sums run over these counts (one
 row a distinct size and source), and the rows of one such cell alone are
 numbered in a window.  A source, a size or a group of copies with a third of
-all rows is spread over its sizes and 256 hash cells.
+all rows is spread over its sizes and hash cells: 256 for each size, and as
+many more as hold its cells to about ``CELL_ROWS`` rows (the order, hence the
+result, is the same for any number of cells).
 
 Defined results: null text is empty (size 0, taken 0); null source is a
 source of its own, last in order; a null id hashes as the empty string; rows
@@ -32,6 +34,8 @@ from tally.llm.shared import cut, fresh, word_count
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = "mix-1"
+CELL_ROWS = 1 << 20
+CELL_DIGITS = 2  # hex digits of the hash that make a cell, where no cell is above CELL_ROWS
 _OFFSET_HEX = 5  # the offset is a multiple of 16**-5, so prefix sums stay exact in doubles
 
 
@@ -76,6 +80,13 @@ def offset(seed: str, key: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(16 ** _OFFSET_HEX)
 
 
+def _finer(cells: DataFrame, by: list[str], digits: str) -> DataFrame:
+    """``by, digits``: hash digits that the sizes with a cell above ``CELL_ROWS``
+    need; no more than one row for each ``CELL_ROWS`` rows of the input."""
+    return (cells.groupBy(*by).agg(F.max("n").alias("n")).where(F.col("n") > CELL_ROWS)
+            .select(*by, (F.lit(CELL_DIGITS) + F.ceil(F.log2(F.col("n") / CELL_ROWS) / 4)).cast("int").alias(digits)))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, dict[str, str]]:
     """Every input row with its copies; returns the frame and the names of the
@@ -85,15 +96,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MA
     takes the row; see :func:`mixed_rows` for the emitted rows themselves.
     """
     names = fresh(docs, "size", "source_size", "target", "copies", "source_key", "hash", "tie", "cell", "rank",
-                  "start", "rate", "offset")
-    size, source_size, target, copies, skey, hashed, tie, cell, rank, start, rate, off = names
+                  "start", "rate", "offset", "digits")
+    size, source_size, target, copies, skey, hashed, tie, cell, rank, start, rate, off, digits = names
     keyed = (
         docs.withColumn(size, word_count(F.col(text_col)))
         .withColumn(skey, source_key(F.col(source_col)))
         .withColumn(hashed, F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
-        .withColumn(cell, F.substring(hashed, 1, 2))
+        .withColumn(cell, F.substring(hashed, 1, CELL_DIGITS))
         .withColumn(tie, F.xxhash64(F.col(text_col))))
     cells = cut(keyed.groupBy(skey, size, cell).agg(F.count("*").alias("n")))
+    finer = _finer(cells, [skey, size], digits)
+    if not finer.isEmpty():
+        keyed = keyed.join(F.broadcast(finer), [skey, size], "left").withColumn(
+            cell, F.substring(hashed, F.lit(1), F.coalesce(F.col(digits), F.lit(CELL_DIGITS))))
+        cells = cut(keyed.groupBy(skey, size, cell).agg(F.count("*").alias("n")))
     sized = cells.groupBy(skey, size).agg(F.sum("n").alias("n"))
     sources = targets(
         sized.groupBy(F.col(skey).alias("source_key")).agg(F.sum(F.col(size) * F.col("n")).alias("source_size")),

@@ -93,6 +93,16 @@ def test_mix_stays_near_targets(docs, nothing):
     assert mixing.mix(nothing)[0].count() == 0 == mixing.mixed_rows(nothing).count()
 
 
+def test_mix_is_the_same_in_finer_cells(spark, docs, monkeypatch):
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    for frame in (docs, plain):
+        whole = rows_of(mixing.mix(frame)[0])
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "CELL_ROWS", 1)
+            m.setattr(mixing, "CELL_DIGITS", 1)
+            assert rows_of(mixing.mix(frame)[0]) == whole
+
+
 def test_shards(spark, docs, nothing, tmp_path):
     for buckets in (16 << 20, 40_000):
         out = sharding.shard(docs, 5, bucket_bytes=buckets)
