@@ -58,10 +58,11 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Run ``df`` once into a Parquet table of the shared folder and read it back.
 
-    For frames that carry texts: Parquet keeps them compressed.  The folder
+    For frames that carry texts: Parquet keeps them compressed, by zstd, which
+    also packs digests and base64 that snappy leaves as they are.  The folder
     belongs to the cluster, which clears it as it does checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
