@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tally.llm import (fingerprints, kneser_ney, mixing, nearest, sentencepiece, sharding, simhash, token_count,
-                       toxicity, url_filter)
+from tally.llm import (fingerprints, kneser_ney, mixing, nearest, sentencepiece, sharding, simhash, suffix_array,
+                       token_count, toxicity, url_filter)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": token_count.op8_token_counts,
     "op9_nearest": nearest.op9_nearest,
     "op10_lm_scoring": kneser_ney.op10_lm_scoring,
+    "op11_suffix_dedup": suffix_array.op11_suffix_dedup,
 }
 
 ORACLE_SQL = {
