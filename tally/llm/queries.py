@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tally.llm import (fingerprints, kneser_ney, mixing, nearest, sentencepiece, sharding, simhash, suffix_array,
-                       token_count, toxicity, url_filter)
+from tally.llm import (conversation_repair, conversation_trie, fingerprints, kneser_ney, mixing, nearest, sentencepiece,
+                       sharding, simhash, suffix_array, token_count, toxicity, url_filter)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_nearest": nearest.op9_nearest,
     "op10_lm_scoring": kneser_ney.op10_lm_scoring,
     "op11_suffix_dedup": suffix_array.op11_suffix_dedup,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE_SQL = {
