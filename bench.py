@@ -8,7 +8,9 @@ JSON line: {"metric", "value" (sum of per-query seconds), "unit", "queries",
 By default every query derives its ERP tables from the TPC-H-style parquet
 in ``$BENCH_SF_DIR``.  With ``$BENCH_ERP_DIR`` (ERP tables stored as parquet
 folders, e.g. by ``tally.sources.layout``) the queries read those instead,
-which times the report logic alone.
+which times the report logic alone.  Keys that store tables before they read
+them (``queries.STORING``) or force what only large tables get (``FORCED``) are
+left out unless ``$BENCH_QUERIES`` names them.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "3"))
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
 
-    from tally.plans.queries import QUERIES
+    from tally.plans.queries import FORCED, QUERIES, STORING
     from tally.session import local_session
 
     spark = local_session(cores=cpus, shuffle_partitions=cpus)
-    keys = only or list(QUERIES)
+    keys = only or [k for k in QUERIES if k not in STORING + FORCED]
     erp_dir = os.environ.get("BENCH_ERP_DIR")
 
     def run(key: str) -> float:

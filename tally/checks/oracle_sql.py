@@ -1,9 +1,10 @@
 """Oracle SQL (DuckDB) for every registered query.
 
-Written the way the reference states each rule - per ledger entry, joins
-that fan out, a GROUP BY over the joined rows - and *not* the staged plan
-the Spark side uses, so the two-engine check compares two different
-derivations of the same result.  Parameters are the fixed values of
+Stated from the rules of SURVEY §1: a ledger entry gets one bucket and the
+buckets are summed with ``FILTER``; an order line has one billed sum, a number
+of names and a number of grades, whose product is what joining them all
+would add up to; a line's last delivery is found first, then the last line of
+each (order, item).  Parameters are the fixed values of
 ``tally.plans.queries``.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 from tally.checks.oracle_views import GRADE_ATTRIBUTE, with_views
 from tally.plans.queries import (
     AS_OF,
+    CLOCK,
     COMPANY,
     CUSTOMER,
     FINANCE_BOOK,
@@ -20,75 +22,75 @@ from tally.plans.queries import (
     TO_DATE,
 )
 
+# The month before CLOCK, as the forms count it.
+D_CLOCK, D_MONTH = f"DATE '{CLOCK}'", f"CAST(DATE '{CLOCK}' - INTERVAL 1 MONTH AS DATE)"
 D_FROM, D_TO, D_ASOF = f"DATE '{FROM_DATE}'", f"DATE '{TO_DATE}'", f"DATE '{AS_OF}'"
 
 
-def _ledger(*, period_only: bool = False, customer: str | None = None,
-            finance_book: str | None = None, total: bool = False,
-            party_type: str = "Customer", adjustments: bool = False) -> str:
-    """Per-entry fold of R1 / R3, grouped by customer name."""
-    date_cond = (f"g.posting_date BETWEEN {D_FROM} AND {D_TO}" if period_only
-                 else f"g.posting_date <= {D_TO}")
-    conds = [
-        "g.docstatus < 2", "g.is_cancelled = 0", f"g.party_type = '{party_type}'",
-        "COALESCE(g.party, '') <> ''", date_cond, f"g.company = '{COMPANY}'",
-    ]
-    if finance_book:
-        conds.append(f"COALESCE(g.finance_book, '') IN ('{finance_book}', '')")
-    if party_type == "Customer":
-        name, join = "cm.customer_name", "LEFT JOIN customer_mapping cm ON g.party = cm.customer_code"
-        amount = "g.debit - g.credit"
-        if customer:
-            conds.append(f"cm.customer_name = '{customer}'")
-    else:
-        name, join, amount = "g.party", "", "g.credit - g.debit"
-    entries = f"""
-        SELECT {name} AS customer_name, g.posting_date, g.voucher_no,
-               {amount} AS amount,
-               (g.posting_date < {D_FROM} OR COALESCE(g.is_opening = 'Yes', FALSE)) AS is_open
-        FROM gl_entry g {join}
-        WHERE {' AND '.join(conds)}"""
-    classified = f"""
-        SELECT e.*,
-               CASE WHEN e.is_open THEN 'opening'
-                    WHEN e.amount > 0 THEN 'invoiced'
-                    WHEN e.voucher_no IN (SELECT name FROM sales_invoice
-                                          WHERE docstatus = 1 AND is_return = 1
-                                            AND posting_date >= {D_FROM}) THEN 'return'
-                    ELSE 'paid' END AS bucket
-        FROM ({entries}) e"""
-    group = "GROUP BY GROUPING SETS ((customer_name), ())" if total else "GROUP BY customer_name"
-    nonzero = ("(SUM(CASE WHEN bucket = 'opening' THEN amount ELSE 0 END) <> 0"
-               " OR SUM(CASE WHEN bucket = 'invoiced' THEN amount ELSE 0 END) <> 0"
-               " OR SUM(CASE WHEN bucket = 'paid' THEN amount ELSE 0 END) <> 0"
-               " OR SUM(CASE WHEN bucket = 'return' THEN amount ELSE 0 END) <> 0)")
-    having = f"HAVING GROUPING(customer_name) = 1 OR {nonzero}" if total else f"HAVING {nonzero}"
+MONEY = "opening_balance invoiced_amount return_amount paid_amount closing_balance"
+
+RETURNED = f"""
+    SELECT DISTINCT name AS returned_voucher FROM sales_invoice
+    WHERE is_return = 1 AND docstatus = 1 AND posting_date >= {D_FROM}"""
+
+
+def _entries(*, period_only: bool = False, finance_book: str | None = None, party_type: str = "Customer",
+             date_from: str = D_FROM, date_to: str = D_TO) -> str:
+    """One row per entry (and mapped name) with its signed amount and bucket."""
+    signed = "debit - credit" if party_type == "Customer" else "credit - debit"
+    since = f" AND posting_date >= {date_from}" if period_only else ""
+    book = f" AND (finance_book IS NULL OR finance_book IN ('', '{finance_book}'))" if finance_book else ""
+    names = ("LEFT JOIN customer_mapping ON customer_code = party" if party_type == "Customer"
+             else "CROSS JOIN (SELECT 1)")
+    name = "customer_name" if party_type == "Customer" else "party AS customer_name"
+    return f"""
+        SELECT posting_date, party, {name}, voucher_type, voucher_no, debit, credit, is_opening, amount,
+               CASE WHEN is_opening = 'Yes' OR posting_date < {date_from} THEN 'opening'
+                    WHEN amount > 0 THEN 'invoiced'
+                    WHEN returned_voucher IS NULL THEN 'paid'
+                    ELSE 'return' END AS bucket
+        FROM (SELECT *, {signed} AS amount FROM gl_entry
+              WHERE company = '{COMPANY}' AND party_type = '{party_type}' AND LENGTH(party) > 0
+                AND is_cancelled = 0 AND docstatus IN (0, 1)
+                AND posting_date <= {date_to}{since}{book}) AS kept
+        LEFT JOIN ({RETURNED.replace(D_FROM, date_from)}) AS returned ON returned_voucher = voucher_no
+        {names}"""
+
+
+def _ledger(*, customer: str | None = None, total: bool = False, **which) -> str:
+    """R1 / R3 by customer name: the sums of the buckets, without all-zero rows."""
+    def bucket(name: str, sign: str = "") -> str:
+        return f"COALESCE({sign}SUM(amount) FILTER (WHERE bucket = '{name}'), 0)"
+
+    one = f"WHERE customer_name = '{customer}'" if customer else ""
+    rows = f"""
+        SELECT customer_name, MIN(posting_date) AS first_posting_date,
+               {bucket('opening')} AS opening_balance, {bucket('invoiced')} AS invoiced_amount,
+               {bucket('return', '-')} AS return_amount, {bucket('paid', '-')} AS paid_amount,
+               SUM(amount) AS closing_balance
+        FROM ({_entries(**which)}) AS entries {one}
+        GROUP BY customer_name"""
+    shown = f"""
+        SELECT * FROM ({rows}) AS summed
+        WHERE opening_balance <> 0 OR invoiced_amount <> 0 OR return_amount <> 0 OR paid_amount <> 0"""
+    currency = f"(SELECT MAX(default_currency) FROM company WHERE name = '{COMPANY}') AS currency"
+    if not total:
+        return f"SELECT *, {currency} FROM ({shown}) AS shown"
+    sums = ", ".join(f"SUM({c}) AS {c}" for c in MONEY.split())
     return f"""
-        SELECT customer_name,
-               MIN(posting_date) AS first_posting_date,
-               SUM(CASE WHEN bucket = 'opening' THEN amount ELSE 0 END) AS opening_balance,
-               SUM(CASE WHEN bucket = 'invoiced' THEN amount ELSE 0 END) AS invoiced_amount,
-               -SUM(CASE WHEN bucket = 'return' THEN amount ELSE 0 END) AS return_amount,
-               -SUM(CASE WHEN bucket = 'paid' THEN amount ELSE 0 END) AS paid_amount,
-               SUM(amount) AS closing_balance,
-               (SELECT MAX(default_currency) FROM company WHERE name = '{COMPANY}') AS currency
-               {', CAST(GROUPING(customer_name) AS INTEGER) AS is_total' if total else ''}
-        FROM ({classified}) c
-        {group}
-        {having}"""
+        SELECT *, {currency}, 0 AS is_total FROM ({shown}) AS shown
+        UNION ALL BY NAME
+        SELECT {sums}, {currency}, 1 AS is_total FROM ({shown}) AS shown HAVING COUNT(*) > 0"""
 
 
 def _dbl(cols: str) -> str:
     return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols.split())
 
 
-MONEY = "opening_balance invoiced_amount return_amount paid_amount closing_balance"
-
-
-def financial_status(total: bool = False, customer: str | None = None) -> str:
+def financial_status(total: bool = False, customer: str | None = None, **which) -> str:
     tot = ", is_total" if total else ""
     return with_views(f"SELECT customer_name, {_dbl(MONEY)}, currency{tot} "
-                      f"FROM ({_ledger(total=total, customer=customer)}) r")
+                      f"FROM ({_ledger(total=total, customer=customer, **which)}) r")
 
 
 def balance_summary(total: bool = False) -> str:
@@ -137,32 +139,33 @@ def with_adjustments() -> str:
         ) a ON r.customer_name IS NOT DISTINCT FROM a.customer_name""")
 
 
-def _item_rows(grade: bool, item: str | None = None, customer: str | None = None) -> str:
-    """The reference's order-line query, GROUP BY the line."""
-    conds = ["so.status NOT IN ('Stopped', 'Closed', 'On Hold')", "so.docstatus = 1",
-             f"so.transaction_date BETWEEN {D_FROM} AND {D_TO}"]
-    if item:
-        conds.append(f"soi.item_code = '{item}'")
-    if customer:
-        conds.append(f"cu.customer_name = '{customer}'")
-    grade_join = (f"LEFT JOIN item_variant_attribute iv ON iv.parent = soi.item_code "
-                  f"AND iv.attribute = '{GRADE_ATTRIBUTE}'") if grade else ""
+def _item_rows(grade: bool, item: str | None = None, customer: str | None = None,
+               date_from: str = D_FROM, date_to: str = D_TO, as_of: str = D_ASOF) -> str:
+    """R4 / R5 line by line.  Names, invoices and grades are counted apart; a
+    line's billed quantity is its invoice sum once per name and per grade."""
+    only_item = f"WHERE item_code = '{item}'" if item else ""
+    only_name = f"WHERE customer_name = '{customer}'" if customer else ""
+    named = "JOIN" if customer else "LEFT JOIN"
+    grades = f"""
+        LEFT JOIN (SELECT parent AS graded_item, MIN(attribute_value) AS grade, COUNT(*) AS grades
+                   FROM item_variant_attribute WHERE attribute = '{GRADE_ATTRIBUTE}' GROUP BY ALL) AS graded
+               ON graded_item = item_code""" if grade else ""
+    times = "COALESCE(names, 1)" + (" * COALESCE(grades, 1)" if grade else "")
     return f"""
-        SELECT so.transaction_date AS date, soi.delivery_date, so.name AS sales_order, so.status,
-               MIN(cu.customer_name) AS customer_name, soi.item_code,
-               date_diff('day', soi.delivery_date, {D_ASOF}) AS delay_days,
-               soi.qty, soi.delivered_qty, soi.qty - soi.delivered_qty AS pending_qty,
-               CAST(COALESCE(SUM(sii.qty), 0) AS DOUBLE) AS billed_qty,
-               soi.base_amount AS amount, so.company, soi.name AS soi_name
-               {', MIN(iv.attribute_value) AS grade' if grade else ''}
-        FROM sales_order so
-        JOIN sales_order_item soi ON soi.parent = so.name
-        LEFT JOIN customer_mapping cu ON cu.customer_code = so.customer
-        LEFT JOIN sales_invoice_item sii ON sii.so_detail = soi.name AND sii.docstatus = 1
-        {grade_join}
-        WHERE {' AND '.join(conds)}
-        GROUP BY so.transaction_date, soi.delivery_date, so.name, so.status, soi.item_code,
-                 soi.qty, soi.delivered_qty, soi.base_amount, so.company, soi.name"""
+        SELECT transaction_date AS date, delivery_date, sales_order, status, customer_name, item_code,
+               date_diff('day', delivery_date, {as_of}) AS delay_days, qty, delivered_qty,
+               qty - delivered_qty AS pending_qty,
+               CAST(COALESCE(invoiced * {times}, 0) AS DOUBLE) AS billed_qty,
+               base_amount AS amount, company, soi_name{', grade' if grade else ''}
+        FROM (SELECT name AS soi_name, parent AS sales_order, item_code, delivery_date, qty, delivered_qty, base_amount
+              FROM sales_order_item {only_item}) AS lines
+        JOIN (SELECT name AS sales_order, customer, transaction_date, status, company FROM sales_order
+              WHERE docstatus = 1 AND status <> 'Stopped' AND status <> 'Closed' AND status <> 'On Hold'
+                AND transaction_date BETWEEN {date_from} AND {date_to}) AS open_orders USING (sales_order)
+        {named} (SELECT customer_code AS customer, MIN(customer_name) AS customer_name, COUNT(*) AS names
+                 FROM customer_mapping {only_name} GROUP BY ALL) AS mapped USING (customer)
+        LEFT JOIN (SELECT so_detail AS soi_name, SUM(qty) AS invoiced
+                   FROM sales_invoice_item WHERE docstatus = 1 GROUP BY ALL) AS billed USING (soi_name){grades}"""
 
 
 def item_sales(grade: bool, item: str | None = None, customer: str | None = None,
@@ -173,7 +176,7 @@ def item_sales(grade: bool, item: str | None = None, customer: str | None = None
     return with_views(f"""
         SELECT *, 0 AS is_total FROM ({rows}) r
         UNION ALL BY NAME
-        SELECT SUM(qty) AS qty, 1 AS is_total FROM ({rows}) r""")
+        SELECT SUM(qty) AS qty, 1 AS is_total FROM ({rows}) r HAVING COUNT(*) > 0""")
 
 
 def item_display() -> str:
@@ -182,48 +185,34 @@ def item_display() -> str:
         FROM ({_item_rows(True)}) r""")
 
 
-def elapsed_time(for_report: bool = False) -> str:
-    orders = (f"AND so.name IN (SELECT sales_order FROM ({_item_rows(True)}) r)"
-              if for_report else "")
+def elapsed_time(of_orders: str | None = None) -> str:
+    """Each line's last submitted delivery, then the last line of an (order, item)."""
+    chosen = f"AND sales_order IN (SELECT sales_order FROM ({of_orders}) AS report)" if of_orders else ""
     return with_views(f"""
-        SELECT sales_order, so_item_code, arg_max(elapsed_seconds, soi_name) AS elapsed_seconds
-        FROM (
-            SELECT so.name AS sales_order, soi.item_code AS so_item_code, soi.name AS soi_name,
-                   date_diff('day', so.transaction_date, MAX(dn.posting_date)) * 86400 AS elapsed_seconds
-            FROM sales_order so
-            JOIN sales_order_item soi ON soi.parent = so.name
-            LEFT JOIN delivery_note_item dni ON dni.so_detail = soi.name
-            LEFT JOIN delivery_note dn ON dni.parent = dn.name
-            WHERE dn.docstatus = 1 {orders}
-            GROUP BY so.name, soi.item_code, soi.name, so.transaction_date
-        ) t
-        GROUP BY sales_order, so_item_code""")
+        SELECT sales_order, so_item_code, elapsed_seconds
+        FROM (SELECT line.parent AS sales_order, line.item_code AS so_item_code,
+                     86400 * date_diff('day', ordered.transaction_date, delivered.last_day) AS elapsed_seconds,
+                     ROW_NUMBER() OVER (PARTITION BY line.parent, line.item_code ORDER BY line.name DESC) AS from_last
+              FROM (SELECT so_detail, MAX(posting_date) AS last_day
+                    FROM (SELECT name AS note, posting_date FROM delivery_note WHERE docstatus = 1) AS submitted
+                    JOIN (SELECT parent AS note, so_detail FROM delivery_note_item) AS items USING (note)
+                    GROUP BY so_detail) AS delivered
+              JOIN sales_order_item AS line ON line.name = delivered.so_detail
+              JOIN sales_order AS ordered ON ordered.name = line.parent) AS ranked
+        WHERE from_last = 1 {chosen}""")
 
 
 def party_entries(period_only: bool) -> str:
-    date_cond = (f"g.posting_date BETWEEN {D_FROM} AND {D_TO}" if period_only
-                 else f"g.posting_date <= {D_TO}")
     return with_views(f"""
-        SELECT g.posting_date, g.party, cm.customer_name, g.voucher_type, g.voucher_no,
-               CAST(g.debit AS DOUBLE) AS debit, CAST(g.credit AS DOUBLE) AS credit, g.is_opening
-        FROM gl_entry g LEFT JOIN customer_mapping cm ON g.party = cm.customer_code
-        WHERE g.docstatus < 2 AND g.is_cancelled = 0 AND g.party_type = 'Customer'
-          AND COALESCE(g.party, '') <> '' AND {date_cond} AND g.company = '{COMPANY}'""")
+        SELECT posting_date, party, customer_name, voucher_type, voucher_no,
+               CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, is_opening
+        FROM ({_entries(period_only=period_only)}) AS entries""")
 
 
 def classified_entries() -> str:
     return with_views(f"""
-        SELECT g.posting_date, g.party, cm.customer_name, g.voucher_no,
-               CAST(g.debit - g.credit AS DOUBLE) AS amount,
-               CASE WHEN g.posting_date < {D_FROM} OR COALESCE(g.is_opening = 'Yes', FALSE) THEN 'opening'
-                    WHEN g.debit - g.credit > 0 THEN 'invoiced'
-                    WHEN g.voucher_no IN (SELECT name FROM sales_invoice
-                                          WHERE docstatus = 1 AND is_return = 1
-                                            AND posting_date >= {D_FROM}) THEN 'return'
-                    ELSE 'paid' END AS bucket
-        FROM gl_entry g LEFT JOIN customer_mapping cm ON g.party = cm.customer_code
-        WHERE g.docstatus < 2 AND g.is_cancelled = 0 AND g.party_type = 'Customer'
-          AND COALESCE(g.party, '') <> '' AND g.posting_date <= {D_TO} AND g.company = '{COMPANY}'""")
+        SELECT posting_date, party, customer_name, voucher_no, CAST(amount AS DOUBLE) AS amount, bucket
+        FROM ({_entries()}) AS entries""")
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -237,7 +226,23 @@ ORACLE_SQL: dict[str, str] = {
     "item_sales_for_item": item_sales(True, item=ITEM),
     "item_sales_for_customer": item_sales(False, customer=CUSTOMER),
     "so_elapsed_time": elapsed_time(),
-    "so_elapsed_time_for_report": elapsed_time(for_report=True),
+    "so_elapsed_time_for_report": elapsed_time(_item_rows(True)),
+    "so_elapsed_time_for_item": elapsed_time(_item_rows(True, item=ITEM)),
+    "customer_status_from_snapshot": financial_status(),
+    "item_sales_key_cut": item_sales(True),
+    "item_sales_for_item_key_cut": item_sales(True, item=ITEM),
+    "gl_classified_entries_key_cut": classified_entries(),
+    "customer_status_key_cut": financial_status(),
+    "customer_status_clustered": financial_status(customer=CUSTOMER),
+    "item_sales_in_order": with_views(
+        "SELECT *, ROW_NUMBER() OVER (ORDER BY date, item_code NULLS FIRST, soi_name) AS position "
+        f"FROM ({_item_rows(True)}) r"),
+    "customer_status_found_accounts": with_adjustments(),
+    "customer_status_default_period": financial_status(date_from=D_MONTH, date_to=D_CLOCK),
+    "item_sales_default_period": with_views(
+        f"SELECT * FROM ({_item_rows(True, date_from=D_MONTH, date_to=D_CLOCK, as_of=D_CLOCK)}) r"),
+    "item_sales_no_filter": with_views(f"SELECT * FROM ({_item_rows(True)}) r WHERE FALSE"),
+    "item_sales_co_located": item_sales(True),
     "customer_financial_status_with_total": financial_status(total=True),
     "customer_balance_summary_with_total": balance_summary(total=True),
     "customer_receipts_with_total": receipts(total=True),

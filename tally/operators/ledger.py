@@ -18,7 +18,9 @@ At scale the summary never joins raw entries to anything:
    voucher number only for entries that still need the return lookup
    (in-period, not opening, amount <= 0) and NULL otherwise.  This is one
    partial + final hash aggregate, so a hot party or voucher is combined on
-   the map side before any shuffle;
+   the map side before any shuffle.  In a large ledger a voucher that can't be
+   among the return names, by a bounded bitmap (``keyset``), isn't kept either:
+   payments shrink to a row a party;
 2. only those pre-aggregated rows meet the return-invoice names (a join, so
    the name list never goes through the driver; AQE broadcasts it when its
    measured size is under the threshold, and splits skewed partitions
@@ -38,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions import adjustment_column, to_double, zero
+from tally.operators.keyset import maybe_in, worth_cutting
 
 MONEY_COLS = ("opening_balance", "invoiced_amount", "return_amount", "paid_amount", "closing_balance")
 
@@ -85,15 +88,24 @@ def classify(entries: DataFrame, returns: DataFrame, from_date: dt.date, party_t
     """P1 per entry: ``amount`` and ``bucket`` (opening/invoiced/return/paid).
 
     Raw entries meet the return names here; NULL vouchers are spread by party.
+    Of a large ledger only those entries do whose bucket hangs on it and whose
+    voucher may be a return (by the bitmap of the names): the others stay where they are.
     """
     amt = signed_amount(party_type)
-    flagged = flag_returns(entries.withColumn("amount", amt), returns, "voucher_no", spread_col="party")
     bucket = (
         F.when(is_opening(from_date), "opening")
         .when(F.col("amount") > 0, "invoiced")
         .when(F.col("is_return"), "return")
         .otherwise("paid")
     )
+    signed = entries.withColumn("amount", amt)
+    if not worth_cutting(entries):
+        flagged = flag_returns(signed, returns, "voucher_no", spread_col="party")
+        return flagged.withColumn("bucket", bucket).drop("is_return")
+    marked = maybe_in(signed, "voucher_no", returns, "name", "_may")
+    open_question = F.col("_may") & ~is_opening(from_date) & (F.col("amount") <= 0)
+    looked_up = flag_returns(marked.where(open_question), returns, "voucher_no", spread_col="party")
+    flagged = looked_up.unionByName(marked.where(~open_question).withColumn("is_return", F.lit(False))).drop("_may")
     return flagged.withColumn("bucket", bucket).drop("is_return")
 
 
@@ -102,8 +114,12 @@ def _party_sums(entries: DataFrame, returns: DataFrame, from_date: dt.date, part
     amt = signed_amount(party_type)
     opening = is_opening(from_date)
     lookup = ~opening & (amt <= 0)
-    pre = entries.groupBy(
-        "party", F.when(lookup, F.col("voucher_no")).alias("vkey")
+    if worth_cutting(entries):
+        marked = maybe_in(entries, "voucher_no", returns, "name", "_may")
+    else:
+        marked = entries.withColumn("_may", F.lit(True))
+    pre = marked.groupBy(
+        "party", F.when(lookup & F.col("_may"), F.col("voucher_no")).alias("vkey")
     ).agg(
         F.sum(F.when(opening, amt).otherwise(zero())).alias("opening_balance"),
         F.sum(F.when(~opening & (amt > 0), amt).otherwise(zero())).alias("invoiced_amount"),
@@ -124,15 +140,34 @@ def _party_sums(entries: DataFrame, returns: DataFrame, from_date: dt.date, part
     )
 
 
+def opening_sums(balances: DataFrame, party_type: str) -> DataFrame:
+    """Balances before the period (party, debit, credit, first_posting_date) as
+    per-party sums: all of it is opening."""
+    amount = signed_amount(party_type)
+    nothing = zero()
+    return balances.select(
+        "party", amount.alias("opening_balance"), nothing.alias("invoiced_amount"), nothing.alias("return_amount"),
+        nothing.alias("paid_amount"), amount.alias("closing_balance"), "first_posting_date")
+
+
 def ledger_summary(entries: DataFrame, returns: DataFrame, mapping: DataFrame | None,
-                   from_date: dt.date, party_type: str = "Customer") -> DataFrame:
+                   from_date: dt.date, party_type: str = "Customer", before: DataFrame | None = None) -> DataFrame:
     """A1 + A3: one row per customer name.
 
     ``mapping=None`` names each party by its own code (supplier side).
+    ``before`` holds the balances of the entries that ``entries`` leaves out,
+    all dated before the period (``sources.snapshots``).
     Columns: customer_name, the five money buckets (DECIMAL),
     first_posting_date.
     """
     per_party = _party_sums(entries, returns, from_date, party_type)
+    if before is not None:
+        per_party = per_party.unionByName(opening_sums(before, party_type))
+    return by_name(per_party, mapping)
+
+
+def by_name(per_party: DataFrame, mapping: DataFrame | None) -> DataFrame:
+    """J1 + A1 on per-party sums: one row per customer name."""
     if mapping is None:
         named = per_party.withColumn("customer_name", F.col("party"))
     else:
@@ -159,6 +194,39 @@ def adjustment_totals(adjustments: DataFrame, accounts: Sequence[str]) -> DataFr
     return adjustments.groupBy(F.col("customer_name").alias("_adj_name")).agg(*cols)
 
 
+MOST_ACCOUNTS = 1000
+
+
+def found_accounts(adjustments: DataFrame, most: int = MOST_ACCOUNTS) -> list[str]:
+    """The accounts that occur, in order: they become columns, so their number
+    is bounded and more than ``most`` raise.  One small job, combined map-side."""
+    rows = adjustments.select(F.collate("account", "UTF8_BINARY").alias("account")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} adjustment accounts")
+    return sorted(r.account for r in rows)
+
+
+def adjustment_maps(adjustments: DataFrame) -> DataFrame:
+    """A8 input without an account list: per customer name the total and the
+    map account -> sum.  Amounts are summed per (name, account) first, so a
+    map has one entry an account however many rows a name has."""
+    sums = adjustments.groupBy(F.col("customer_name").alias("_adj_name"), "account").agg(F.sum("amount").alias("amount"))
+    return sums.groupBy("_adj_name").agg(
+        F.sum("amount").alias("_adj_total"),
+        F.map_from_entries(F.collect_list(F.struct("account", "amount"))).alias("_adj_by_account"))
+
+
+def apply_found_adjustments(summary: DataFrame, adjustments: DataFrame) -> DataFrame:
+    """A8 with a column for every account that occurs in ``adjustments``, as
+    the reference makes them; otherwise :func:`apply_adjustments`."""
+    by_column = {adjustment_column(a): a for a in found_accounts(adjustments)}
+    adj = adjustment_maps(adjustments)
+    joined = summary.join(adj, summary["customer_name"].eqNullSafe(adj["_adj_name"]), "left")
+    out = joined.withColumn("paid_amount", F.col("paid_amount") - F.coalesce(F.col("_adj_total"), zero()))
+    columns = {c: F.coalesce(F.try_element_at("_adj_by_account", F.lit(a)), zero()) for c, a in by_column.items()}
+    return out.withColumns(columns).drop("_adj_name", "_adj_total", "_adj_by_account")
+
+
 def apply_adjustments(summary: DataFrame, adjustments: DataFrame, accounts: Sequence[str]) -> DataFrame:
     """Subtract each customer's adjustment total from ``paid_amount`` and
     add ``adj_<account>`` columns (0 when absent).  Run after zero suppression.

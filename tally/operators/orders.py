@@ -15,8 +15,9 @@ item.  The join then never multiplies rows, no group of
 raw invoice rows is ever shuffled as a whole, and the billed quantity is
 ``coalesce(billed_raw * mapped * graded, 0)``: exactly the reference's sum,
 done in DECIMAL so the grouping order cannot change it, with nine decimals
-kept to the end (an overflow raises).  Reports with a narrow filter first cut
-the invoice, grade and delivery rows to the selected lines by a semi join.
+kept to the end (an overflow raises).  Reports with a filter first cut a large
+table of invoice items to the selected lines by a bounded bitmap of their
+names (``keyset``), before any row of it is shuffled.
 
 ``sales_order_item.name`` is the line's primary key, so after these joins
 every line is already one row and no final GROUP BY (shuffle) is needed.
@@ -33,11 +34,14 @@ from pyspark.sql.types import DecimalType
 from tally.functions import days_between, seconds_between
 from tally.operators import filters as flt
 from tally.operators.joins import lookup_join
+from tally.operators.keyset import within
 
 # The sum of QTY has 31 digits; times a factor of 6 that makes 38 with scale 9,
 # so the product is never rounded.
 QTY = DecimalType(21, 9)
 FACTOR = DecimalType(6, 0)
+# Column of invoice items stored beside their order (sources.buckets).
+ORDER_OF_LINE = "order_of_line"
 
 
 def orders_view(sales_order: DataFrame) -> DataFrame:
@@ -66,15 +70,16 @@ def mapping_by_code(mapping: DataFrame) -> DataFrame:
 
 
 def billed_by_line(sales_invoice_item: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """A4 before the join (S6, F16): submitted invoice quantity per line, of
-    the lines ``only`` (a frame with ``soi_name``) where given."""
+    """A4 before the join (S6, F16): submitted invoice quantity per line; with
+    ``only`` (a frame with ``soi_name``) rows that can't be of its lines are
+    cut first.  Co-located rows (``sources.buckets``) keep their order's name."""
     rows = flt.submitted_invoice_items(sales_invoice_item)
     if only is not None:
-        names = only.select(F.col("soi_name").alias("_only"))
-        rows = rows.join(names, F.col("so_detail") == F.col("_only"), "left_semi")
-    return rows.groupBy(
-        F.col("so_detail").alias("_so_detail")
-    ).agg(F.sum(F.col("qty").cast(QTY)).alias("_billed_raw"))
+        rows = within(rows, "so_detail", only, "soi_name")
+    keys = [F.col("so_detail").alias("_so_detail")]
+    if ORDER_OF_LINE in sales_invoice_item.columns:
+        keys.insert(0, F.col(ORDER_OF_LINE).alias("_so_order"))
+    return rows.groupBy(*keys).agg(F.sum(F.col("qty").cast(QTY)).alias("_billed_raw"))
 
 
 def grade_by_item(item_variant_attribute: DataFrame) -> DataFrame:
@@ -84,11 +89,14 @@ def grade_by_item(item_variant_attribute: DataFrame) -> DataFrame:
     ).agg(F.min("attribute_value").alias("grade"), F.count(F.lit(1)).alias("_graded"))
 
 
-def with_billed(lines: DataFrame, sales_invoice_item: DataFrame, narrow: bool = False) -> DataFrame:
-    """Left join of the per-line invoice sums; ``narrow`` says that
-    ``lines`` are few, so the invoice rows are cut to them before summing."""
-    billed = billed_by_line(sales_invoice_item, lines if narrow else None)
-    return lines.join(billed, F.col("soi_name") == F.col("_so_detail"), "left").drop("_so_detail")
+def with_billed(lines: DataFrame, sales_invoice_item: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Left join of the per-line invoice sums.  ``only`` (the listed
+    lines' ``soi_name`` by the cheapest plan) cuts the invoice rows first."""
+    billed = billed_by_line(sales_invoice_item, only)
+    same = F.col("soi_name") == F.col("_so_detail")
+    if "_so_order" in billed.columns:
+        same = (F.col("sales_order") == F.col("_so_order")) & same
+    return lines.join(billed, same, "left").drop("_so_order", "_so_detail")
 
 
 def with_mapping(orders: DataFrame, mapping: DataFrame, inner: bool = False) -> DataFrame:
@@ -145,11 +153,10 @@ def line_record(df: DataFrame, with_grade_col: bool) -> DataFrame:
 def last_delivery(delivery_note: DataFrame, delivery_note_item: DataFrame,
                   only: DataFrame | None = None) -> DataFrame:
     """J8 + J9 + A5 (+ F15's ``dn.docstatus = 1``): last submitted delivery
-    date per order line, of the lines ``only`` (a frame with ``soi_name``)
-    where given.  Lines without one drop out, as the WHERE does."""
+    date per order line; with ``only`` (a frame with ``soi_name``) items that
+    can't be of its lines are cut first.  Lines without one drop out, as the WHERE does."""
     if only is not None:
-        names = only.select(F.col("soi_name").alias("_only"))
-        delivery_note_item = delivery_note_item.join(names, F.col("so_detail") == F.col("_only"), "left_semi")
+        delivery_note_item = within(delivery_note_item, "so_detail", only, "soi_name")
     dn = flt.submitted_delivery_notes(delivery_note).select(
         F.col("name").alias("_dn"), F.col("posting_date").alias("_dn_date")
     )

@@ -7,14 +7,20 @@ computed once, the total is summed map-side, and an empty report gets no
 total row (a grouping set of no rows has no group).  The frame gains
 ``is_total`` (1 on the total), because the total row and the NULL customer
 group both have a NULL name.
+
+That suits reports of one row per customer.  The item reports list order
+lines: there an Expand would copy every line and shuffle whole records, so
+:func:`column_totals` sums a narrow frame of the same lines and
+:func:`with_total_beside` puts the total next to the untouched detail rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 
 def with_total_row(detail: DataFrame, key: str, sums: Sequence[str]) -> DataFrame:
@@ -31,3 +37,18 @@ def with_total_row(detail: DataFrame, key: str, sums: Sequence[str]) -> DataFram
         *[detail_only(c) if c in others else F.col(c) for c in detail.columns],
         F.when(F.col("_gid") == 0, 0).otherwise(1).alias("is_total"),
     )
+
+
+def column_totals(rows: DataFrame, sums: Mapping[str, DecimalType]) -> DataFrame:
+    """The one row of totals of ``rows``, none if there are none.  Each column
+    is summed exactly (as a decimal copy), map-side and then once more, and
+    given back as DOUBLE."""
+    totals = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(c).cast(t)).alias(c) for c, t in sums.items()])
+    return totals.where("_n > 0").select(*[F.col(c).cast("double").alias(c) for c in sums])
+
+
+def with_total_beside(detail: DataFrame, total: DataFrame) -> DataFrame:
+    """``detail`` as it is and the row of ``total``, whose other columns are NULL."""
+    both = detail.withColumn("is_total", F.lit(0)).unionByName(
+        total.withColumn("is_total", F.lit(1)), allowMissingColumns=True)
+    return both.select(*detail.columns, "is_total")

@@ -10,7 +10,12 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from tally.functions.dates import DateLike, parse_date, today
+from tally.functions.dates import DateLike, default_from_date, parse_date, today
+
+# The error texts.
+DATES_SWAPPED = "From Date must be before To Date"
+DATES_REQUIRED = "From and To Dates are required."
+ORDER_DATES_SWAPPED = "To Date cannot be before From Date."
 
 
 class ReportError(ValueError):
@@ -31,6 +36,7 @@ class LedgerParams:
     customer: str | None = None
     finance_book: str | None = None
     party_type: str = "Customer"
+    codes: tuple[str, ...] | None = None  # the customer's codes, where looked up before (reports.with_codes)
 
     @classmethod
     def of(cls, from_date: DateLike = None, to_date: DateLike = None, company: str | None = None,
@@ -39,9 +45,15 @@ class LedgerParams:
         f = parse_date(from_date) or today()
         t = parse_date(to_date) or today()
         if f > t:
-            raise ReportError("From Date must be before To Date")
+            raise ReportError(DATES_SWAPPED)
         return cls(f, t, company or default_company, customer or None, finance_book or None, party_type)
 
+    @classmethod
+    def for_form(cls, clock: DateLike = None, **given) -> LedgerParams:
+        """As the report's form opens: missing dates are the month up to
+        ``clock`` (today); ``given`` as in :meth:`of`."""
+        return cls.of(**_form_dates(clock, given))
+
 
 @dataclass(frozen=True)
 class OrderParams:
@@ -63,8 +75,21 @@ class OrderParams:
            customer: str | None = None, as_of: DateLike = None) -> OrderParams:
         f, t = parse_date(from_date), parse_date(to_date)
         if (f is None) != (t is None):
-            raise ReportError("From and To Dates are required.")
+            raise ReportError(DATES_REQUIRED)
         if f is not None and t < f:
-            raise ReportError("To Date cannot be before From Date.")
+            raise ReportError(ORDER_DATES_SWAPPED)
         empty = f is None and not item and not customer
         return cls(f, t, item or None, customer or None, parse_date(as_of) or today(), empty)
+
+    @classmethod
+    def for_form(cls, clock: DateLike = None, **given) -> OrderParams:
+        """As the report's form opens: missing dates are the month up to
+        ``clock`` (today), which is also the ``as_of``; ``given`` as in :meth:`of`."""
+        return cls.of(**{"as_of": clock, **_form_dates(clock, given)})
+
+
+def _form_dates(clock: DateLike, given: dict) -> dict:
+    """``given`` with the form's default period (X8) for the dates it lacks."""
+    now = parse_date(clock) or today()
+    period = {"from_date": default_from_date(now), "to_date": now}
+    return given | {k: v for k, v in period.items() if not given.get(k)}

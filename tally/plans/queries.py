@@ -8,6 +8,7 @@ tables: no row caps, no key subsets.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,14 @@ from tally.plans import reports as rep
 from tally.plans.display import display
 from tally.plans.params import LedgerParams, OrderParams
 from tally.session import tune
+from tally.sources.buckets import from_buckets, write_buckets
+from tally.sources.clustering import write_clustered
+from tally.sources.layout import write_monthly
+from tally.sources.ordered import read_ordered, write_ordered
+from tally.sources.snapshots import BalanceSnapshots, month_ends
 from tally.sources.tables import ErpTables
 from tally.sources.tpch_erp import erp_tables
+from tally.sources.work import new_folder
 
 # Fixed parameters of the registered queries.
 FROM_DATE = "1997-01-01"
@@ -31,6 +38,8 @@ CUSTOMER = "Party-3"
 FINANCE_BOOK = "FB-1"
 ITEM = "ITEM-5"
 AS_OF = "2002-01-01"
+MIN_BYTES = "tally.keyset.minBytes"
+CLOCK = "1998-03-31"  # the day the forms open; a month before is February's last day
 ADJUSTMENT_ACCOUNTS = ("Write Off", "Round-Off")
 
 Query = Callable[..., DataFrame]  # (spark, sf_dir, tables=None)
@@ -94,9 +103,83 @@ def so_elapsed_time(spark, sf_dir, tables=None):
 
 
 def so_elapsed_time_for_report(spark, sf_dir, tables=None):
-    """R6 for the orders of an item-sales report (semi join, not an IN list)."""
+    """R6 for the orders of an item-sales report."""
+    return rep.so_elapsed_time_for_report(_tables(spark, sf_dir, tables), _orders())
+
+
+def so_elapsed_time_for_item(spark, sf_dir, tables=None):
+    """R6 for the orders an item's report lists (semi join, not an IN list)."""
+    return rep.so_elapsed_time_for_report(_tables(spark, sf_dir, tables), _orders(item=ITEM))
+
+
+# --------------------------------------------------------- stored layouts
+
+def customer_status_from_snapshot(spark, sf_dir, tables=None):
+    """R1 from balance snapshots at month ends and the ledger after the last
+    one before the period; the ledger is stored by month first."""
+    t = _tables(spark, sf_dir, tables)
+    root = new_folder(spark, "ledger")
+    write_monthly(t.gl_entry, f"{root}/gl_entry")
+    snapshots = BalanceSnapshots(spark, f"{root}/gl_entry", f"{root}/snapshots")
+    p = _ledger()
+    snapshots.refresh(month_ends(p.from_date - dt.timedelta(days=100), p.to_date))
+    return rep.customer_financial_status(t, p, snapshots=snapshots)
+
+
+def _cutting(query: Query, spark, sf_dir, tables):
+    """``query`` with the key bitmaps of large tables, whatever their size."""
+    before = spark.conf.get(MIN_BYTES, None)
+    spark.conf.set(MIN_BYTES, "0")
+    try:
+        return query(spark, sf_dir, tables)
+    finally:
+        spark.conf.unset(MIN_BYTES) if before is None else spark.conf.set(MIN_BYTES, before)
+
+
+def item_sales_key_cut(spark, sf_dir, tables=None):
+    """R4 with the invoice items cut to the period's lines first."""
+    return _cutting(item_sales_for_period, spark, sf_dir, tables)
+
+
+def item_sales_for_item_key_cut(spark, sf_dir, tables=None):
+    """R4 of an item with the invoice items cut to its lines first."""
+    return _cutting(item_sales_for_item, spark, sf_dir, tables)
+
+
+def gl_classified_entries_key_cut(spark, sf_dir, tables=None):
+    """Entries with their buckets; only possible returns are looked up."""
+    return _cutting(gl_classified_entries, spark, sf_dir, tables)
+
+
+def customer_status_key_cut(spark, sf_dir, tables=None):
+    """R1; only vouchers that may be returns are kept apart."""
+    return _cutting(customer_financial_status, spark, sf_dir, tables)
+
+
+def customer_status_clustered(spark, sf_dir, tables=None):
+    """R1 of one customer on a ledger in Z-order; its codes reach the scan."""
     t = _tables(spark, sf_dir, tables)
-    return rep.so_elapsed_time(t, rep.item_sales_orders(t, _orders()))
+    path = f"{new_folder(spark, 'clustered')}/gl_entry"
+    write_clustered(t.gl_entry, "gl_entry", path)
+    t = t.replace(gl_entry=spark.read.parquet(path))
+    return rep.customer_financial_status(t, rep.with_codes(t, _ledger(customer=CUSTOMER)))
+
+
+def item_sales_in_order(spark, sf_dir, tables=None):
+    """R4 stored in its order and read back with each row's position."""
+    path = new_folder(spark, "report")
+    order = [F.col("date").asc(), F.col("item_code").asc(), F.col("soi_name").asc()]
+    write_ordered(rep.item_sales_for_period(_tables(spark, sf_dir, tables), _orders()), path, order)
+    return read_ordered(spark, path)
+
+
+def item_sales_co_located(spark, sf_dir, tables=None):
+    """R4 on tables bucketed by the order."""
+    t = _tables(spark, sf_dir, tables)
+    root = new_folder(spark, "orders")
+    database = root.rpartition("/")[2].replace("-", "_")
+    write_buckets(t, database, int(spark.conf.get("spark.sql.shuffle.partitions")), root)
+    return rep.item_sales_for_period(from_buckets(spark, database), _orders())
 
 
 # ------------------------------------------------------------------ totals
@@ -215,6 +298,28 @@ def customer_status_with_adjustments(spark, sf_dir, tables=None):
     return rep.customer_status_with_adjustments(t, _ledger(), ADJUSTMENT_ACCOUNTS)
 
 
+def customer_status_found_accounts(spark, sf_dir, tables=None):
+    """A8 with the accounts that occur."""
+    t = _tables(spark, sf_dir, tables)
+    return rep.customer_status_with_adjustments(t, _ledger())
+
+
+def customer_status_default_period(spark, sf_dir, tables=None):
+    """R1 as its form opens on CLOCK: the month up to that day."""
+    return rep.customer_financial_status(
+        _tables(spark, sf_dir, tables), LedgerParams.for_form(CLOCK, company=COMPANY))
+
+
+def item_sales_default_period(spark, sf_dir, tables=None):
+    """R4 as its form opens on CLOCK."""
+    return rep.item_sales_for_period(_tables(spark, sf_dir, tables), OrderParams.for_form(CLOCK))
+
+
+def item_sales_no_filter(spark, sf_dir, tables=None):
+    """R4 without any filter: no rows (V3)."""
+    return rep.item_sales_for_period(_tables(spark, sf_dir, tables), OrderParams.of(as_of=AS_OF))
+
+
 def item_sales_display(spark, sf_dir, tables=None):
     t = _tables(spark, sf_dir, tables)
     return display(rep.item_sales_for_period(t, _orders()), "item_sales_for_period")
@@ -249,6 +354,15 @@ QUERIES: dict[str, Query] = {
         item_sales_for_customer,
         so_elapsed_time,
         so_elapsed_time_for_report,
+        so_elapsed_time_for_item,
+        customer_status_from_snapshot,
+        item_sales_key_cut,
+        item_sales_for_item_key_cut,
+        gl_classified_entries_key_cut,
+        customer_status_key_cut,
+        customer_status_clustered,
+        item_sales_in_order,
+        item_sales_co_located,
         customer_financial_status_with_total,
         customer_balance_summary_with_total,
         customer_receipts_with_total,
@@ -265,9 +379,17 @@ QUERIES: dict[str, Query] = {
         company_currency,
         supplier_ledger_summary,
         customer_status_with_adjustments,
+        customer_status_found_accounts,
+        customer_status_default_period,
+        item_sales_default_period,
+        item_sales_no_filter,
         item_sales_display,
         item_sales_for_customer_display,
         customer_status_display,
         customer_receipts_display,
     )
 }
+
+#: Keys that store tables first, or force the key bitmaps that small tables do not get.
+STORING = ("customer_status_from_snapshot", "item_sales_co_located", "customer_status_clustered", "item_sales_in_order")
+FORCED = tuple(k for k in QUERIES if k.endswith("_key_cut"))

@@ -16,6 +16,7 @@ Writing is a normal DataFrame write; reading back is
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tally.sources.tables import TABLES, ErpTables
 
@@ -31,6 +32,18 @@ SORT_WITHIN: dict[str, tuple[str, ...]] = {
 }
 
 
+MONTH = "posting_month"
+
+
+def write_monthly(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write ledger entries in a folder per month of posting (its first day):
+    the coarser layout that balance snapshots at month ends stand on."""
+    keys = (MONTH, "posting_date", "party")
+    dated = df.withColumn(MONTH, F.trunc("posting_date", "MM"))
+    dated.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+
+
 def write_table(df: DataFrame, name: str, path: str, mode: str = "errorifexists") -> None:
     part = PARTITION_BY.get(name)
     if part:

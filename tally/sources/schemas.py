@@ -63,6 +63,9 @@ SCHEMAS: dict[str, StructType] = {
     "party_adjustment": _schema(("customer_name", S, True), ("account", S, False), ("amount", M, False)),
 }
 
+# Columns a stored layout may add (sources.buckets); kept where present.
+OPTIONAL: dict[str, tuple[str, ...]] = {"sales_invoice_item": ("order_of_line",)}
+
 # Not-null columns whose NULL would change a sum silently in SQL but fail in
 # the reference's Python fold; checked lazily.  Filter columns are not
 # wrapped, so their predicates still reach the scan.
@@ -90,7 +93,8 @@ TEXT_KEYS: dict[str, tuple[str, ...]] = {
 
 
 def conform(df: DataFrame, table: str, collation: str | None = None) -> DataFrame:
-    """Select the declared columns of ``table`` in order, cast to their types.
+    """Select the declared columns of ``table`` in order, cast to their types
+    (and those a layout added).
 
     With ``collation`` (e.g. ``UNICODE_CI_AI_RTRIM``) the table's text keys
     carry that collation, so every join, filter and sort on them follows it.
@@ -108,4 +112,4 @@ def conform(df: DataFrame, table: str, collation: str | None = None) -> DataFram
         if collation and f.name in TEXT_KEYS.get(table, ()):
             c = F.collate(c, collation)
         cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *[c for c in OPTIONAL.get(table, ()) if c in df.columns])

@@ -7,7 +7,12 @@ import io
 
 import pytest
 
+from tally.operators import filters as flt
+from tally.operators.keyset import within
+from tally.plans import reports as rep
+from tally.plans.params import OrderParams
 from tally.plans.queries import QUERIES
+from tally.sources.tpch_erp import erp_tables
 
 from conftest import SF_SMALL
 
@@ -74,13 +79,46 @@ def test_no_row_is_copied_in_an_unskewed_plan(spark):
         assert ") Generate" not in plan_text(QUERIES[key](spark, SF_SMALL))
 
 
-def test_totals_run_the_report_once(spark):
-    for key in ("customer_financial_status", "item_sales_for_period"):
-        plain, total = (plan_text(QUERIES[k](spark, SF_SMALL)) for k in (key, f"{key}_with_total"))
-        for node in (") Scan parquet", "Join "):
-            assert total.count(node) == plain.count(node), (key, node)
-
-
-def test_narrow_item_reports_cut_the_invoice_rows_first(spark):
-    for key in ("item_sales_for_item", "item_sales_for_customer", "so_elapsed_time_for_report"):
-        assert "LeftSemi" in plan_text(QUERIES[key](spark, SF_SMALL))
+def test_ledger_totals_run_the_report_once(spark):
+    plain, total = (plan_text(QUERIES[k](spark, SF_SMALL))
+                    for k in ("customer_financial_status", "customer_financial_status_with_total"))
+    for node in (") Scan parquet", "Join "):
+        assert total.count(node) == plain.count(node), node
+
+
+def executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+
+
+def test_item_totals_copy_no_line(spark):
+    """Executed plans: no Expand, and the total's branch carries quantities only."""
+    for key in ("item_sales_for_period_with_total", "item_sales_for_customer_with_total"):
+        text = executed(QUERIES[key](spark, SF_SMALL))
+        assert "Expand" not in text and "Union" in text, key
+
+
+def test_r6_of_a_report_shuffles_no_more_than_r6(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole, report, period, item, customer = (
+            plan_text(QUERIES[k](spark, SF_SMALL)).count(") Exchange") for k in (
+                "so_elapsed_time", "so_elapsed_time_for_report", "item_sales_for_period", "item_sales_for_item",
+                "item_sales_for_customer"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert report <= whole
+    assert item <= period and customer <= period
+
+
+def test_large_tables_are_cut_before_the_shuffle(spark):
+    """With the bitmap fewer invoice rows enter the aggregate, and fewer entries the return lookup."""
+    for key, plain in (("item_sales_key_cut", "item_sales_for_period"), ("gl_classified_entries_key_cut", "gl_classified_entries")):
+        cut_text, plain_text = (plan_text(QUERIES[k](spark, SF_SMALL)) for k in (key, plain))
+        assert "bitmap_construct_agg" in cut_text and "bitmap_construct_agg" not in plain_text, key
+    t = erp_tables(spark, SF_SMALL)
+    p = OrderParams.of("1997-01-01", "1998-12-31")
+    rows = flt.submitted_invoice_items(t.sales_invoice_item)
+    left = within(rows, "so_detail", rep._listed_names(t, p, True), "soi_name").count()
+    assert left < 0.5 * rows.count()
