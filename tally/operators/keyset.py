@@ -36,12 +36,14 @@ MIN_BYTES = 10 << 30
 
 
 def worth_cutting(df: DataFrame) -> bool:
-    """Whether ``df`` is estimated at ``tally.keyset.minBytes`` or more."""
+    """Whether the files ``df`` reads (its pruned columns of them) are estimated
+    at ``tally.keyset.minBytes`` or more together.  The estimate of a join is no use here:
+    Catalyst multiplies the sizes of its sides."""
     if df.isStreaming:
         return False
     least = int(df.sparkSession.conf.get("tally.keyset.minBytes", str(MIN_BYTES)))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) >= least
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())) >= least
 
 
 def _hash(key: Column, bits: int) -> Column:

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.operators import keyset
+from tally.sources.tpch_erp import erp_tables
+
+from conftest import SF_SMALL
 
 
 def keys(spark, n, step=1):
@@ -41,3 +44,19 @@ def test_nulls_and_nothing(spark):
 def test_collated_keys_are_not_cut(spark):
     rows = spark.createDataFrame([("a",), ("B",)], "k string").select(F.collate("k", "UNICODE_CI").alias("k"))
     assert keyset.within(rows, "k", rows.where("k = 'b'"), "k").count() == 2
+
+
+def test_size_is_that_of_the_files(spark):
+    t = erp_tables(spark, SF_SMALL)
+    for df in (t.gl_entry, t.sales_invoice_item, t.sales_invoice):
+        assert not keyset.worth_cutting(df)
+    spark.conf.set("tally.keyset.minBytes", "10000")
+    try:
+        assert keyset.worth_cutting(t.gl_entry) and not keyset.worth_cutting(t.company)
+    finally:
+        spark.conf.unset("tally.keyset.minBytes")
+    spark.conf.set("tally.keyset.minBytes", "100000000")
+    try:
+        assert not keyset.worth_cutting(t.gl_entry)
+    finally:
+        spark.conf.unset("tally.keyset.minBytes")
