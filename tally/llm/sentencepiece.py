@@ -1,8 +1,11 @@
 """SentencePiece encoding and decoding: Unigram Viterbi over a double-array trie.
 
-The pieces and their log scores come from a ``.model`` file (its normalizer
-must be the identity; its spaces become the marker U+2581, one marker is put
-before a non-empty text).  Encoding takes, of all ways to cut the text into
+The pieces come from a ``.model`` file (its normalizer must be the identity;
+its spaces become the marker U+2581, one marker is put before a non-empty
+text).  A unigram file gives their log scores; a merge file gives ranks, the
+negated orders of its merges, whose sums mean nothing.  These become log
+probabilities by the Zipf-Mandelbrot law, p = 1 / (rank + ``SHIFT``) over the
+sum of all (:func:`log_scores`): nothing is trained on any corpus.  Encoding takes, of all ways to cut the text into
 pieces, one with the greatest sum of scores; a character no piece covers falls
 back to its UTF-8 bytes at the lowest score minus ``UNKNOWN_PENALTY``.  At
 equal sums the cut whose last piece starts first wins, as the forward pass
@@ -24,6 +27,7 @@ text; rows repeat as they come; other columns of the input are kept by
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
@@ -43,6 +47,8 @@ UNKNOWN_PENALTY = 10.0
 CACHE_ENTRIES = 500_000
 CACHED_BYTES = 64
 BATCH_DOCS = 1024
+SHIFT = 2.7  # of the Zipf-Mandelbrot law
+_UNIGRAM = 1
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -72,16 +78,27 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 def load_pieces(path: str) -> list[tuple[str, float, int]]:
-    """(piece, score, type) in id order."""
+    """(piece, log score, type) in id order."""
     with open(path, "rb") as f:
         model = f.read()
-    pieces = []
+    pieces, kind = [], _UNIGRAM
     for number, value in _fields(model):
         if number == 1:
             piece = dict(_fields(value))
             pieces.append((piece[1].decode("utf-8"), struct.unpack("<f", piece.get(2, b"\0\0\0\0"))[0],
                            piece.get(3, _NORMAL)))
-    return pieces
+        elif number == 2:  # how the file was made; its third field is the model's kind
+            kind = dict(_fields(value)).get(3, _UNIGRAM)
+    return pieces if kind == _UNIGRAM else log_scores(pieces)
+
+
+def log_scores(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Negated merge ranks as log probabilities: of the ordinary pieces
+    together 1, falling with the rank."""
+    scored = (_NORMAL, _USER, _UNUSED)
+    weight = [1 / (max(0.0, -s) + SHIFT) if kind in scored else 0.0 for _, s, kind in pieces]
+    total = math.fsum(weight)
+    return [(p, math.log(w / total) if w else 0.0, kind) for (p, _, kind), w in zip(pieces, weight, strict=True)]
 
 
 @dataclass
