@@ -6,7 +6,9 @@ the files of its ``probes`` nearest pivots, ranks each file by the footrule
 distance between the pivot orders (a pivot outside an order counts as its
 length), and computes the exact cosine for the best ``rerank`` of each file.
 The best k of all files are returned; a query that found fewer than k though
-more rows exist searches all files.
+more rows exist searches all files.  The exact setting is ``posts=1,
+probe_share=1`` and a ``rerank`` of all rows: every file is opened and every
+cosine in it computed.
 
 The pivots are a bounded sample (``MOST_PIVOTS`` at most) of the distinct
 vectors, the smallest by hash; every row is indexed.  Their number is about

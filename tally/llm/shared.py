@@ -10,12 +10,13 @@ Definitions every operator keeps to:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tally.sources.work import work_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,16 +38,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session has none (tests on one machine) is a temporary
-    folder taken, and set as the checkpoint folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tally-llm-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session
+    (only a ``local[...]`` session may go without: it gets a temporary one)."""
+    return work_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

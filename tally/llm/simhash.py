@@ -192,15 +192,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one row of each near-duplicate group: the smallest id (rows
     without id last), among equal ids the smallest hash of the row."""
     key, = fresh(docs, "key")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
     keyed = docs.withColumn(key, F.struct(
         F.col(id_col).isNull().alias("last"), F.col(id_col).cast("long").alias("id"),
-        F.xxhash64(*docs.columns).alias("row")))
-    narrow = keyed.select(F.xxhash64(F.to_json(key)).alias("doc_id"), F.col(key).alias("key"), text_col)
-    groups = components(narrow.select("doc_id", text_col), text_col=text_col, **options)
-    first = (
-        groups.select("doc_id", "component_id").distinct()
-        .join(narrow.select("doc_id", "key").distinct(), "doc_id")
-        .groupBy("component_id").agg(F.min("key").alias(key)).select(key))
+        F.xxhash64(*plain).alias("row")))
+    groups = components(keyed.select(key, text_col), id_col=key, text_col=text_col, **options)
+    first = groups.select(F.col("component_id").alias(key)).distinct()
     return keyed.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
