@@ -16,11 +16,16 @@ p(w | v) = (max(c(vw) - D(c), 0) + gamma(v) p1(w)) / c(v), with D by c = 1, 2,
 part in V + 1, the last for unknown words.  After an unknown word p1 alone
 holds.
 
+Words are merged in as many ranges as there are buckets of pairs, so neither
+step has a group that grows with the vocabulary or the corpus.
+
 Scale: every task works in slices of ``SLICE_BYTES`` of text and sends sorted
 blocks, already counted; buckets get ``BUCKET_TOKENS`` tokens on average and
 take pairs by hash, so neither a word nor a pair is ever one task's load.  A
 lost executor repeats its tasks, which write the same files under the same
-names.  Word numbers have 32 bits: over 2**32 - 2 distinct words raise.
+names (written aside and moved, so a killed attempt leaves no half of one).  Word
+numbers have 32 bits: over 2**32 - 2 distinct words raise.  Two words with one
+64-bit hash would be counted as one.
 
 Defined results: null and empty texts are one end token; a training set
 without rows gives every token the base and model probability 1; repeated rows
@@ -48,7 +53,7 @@ from tally.llm.shared import documents, shared_dir, stored
 HELD_OUT_OF, HELD_OUT = 10, 0
 SLICE_BYTES = 8 << 20
 BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 32
-WORD_RANGE = 1 << 20
+LEAST_RANGE = 256
 BASE_ADD = 0.1
 END_HASH = np.int64(-0x61C8864680B583EB)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -76,8 +81,12 @@ class Files:
             array.tofile(part)
             os.replace(part, path)  # a repeated task replaces the file by an equal one
         else:
-            with system.open_output_stream(path) as out:
+            part = f"{path}.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as out:
                 out.write(np.ascontiguousarray(array).data)
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                system.delete_file(path)  # an earlier attempt's, equal
+            system.move(part, path)
 
     def get(self, name: str, dtype) -> np.ndarray:
         if name not in self._open:
@@ -236,9 +245,9 @@ def _unpacked(data: bytes, dtype: str) -> np.ndarray:
 _STATS = "bucket int, word_range long, followed binary, ways binary, after binary, n1 long, n2 long, n3 long, n4 long"
 
 
-def _merge_pairs(root: str):
+def _merge_pairs(root: str, span: int):
     """One bucket: writes its pairs and counts (empty files where it has none),
-    gives out what they say of the words."""
+    gives out what they say of the words, by ranges of ``span`` word numbers."""
     columns = [f.split()[0] for f in _STATS.split(", ")]
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -262,9 +271,10 @@ def _merge_pairs(root: str):
                              for c in (1, 2, 3))])
         words, after = np.unique(word.astype(np.int64), return_counts=True)
         out = []
-        for r in np.union1d(follow[0] // WORD_RANGE, words // WORD_RANGE):
-            f = follow[:, follow[0] // WORD_RANGE == r]
-            w = words // WORD_RANGE == r
+        ranges = np.union1d(follow[0] // span, words // span)
+        f_at, w_at = (np.searchsorted(x, np.append(ranges, ranges[-1] + 1) * span) for x in (follow[0], words))
+        for k, r in enumerate(ranges):
+            f, w = follow[:, f_at[k]:f_at[k + 1]], slice(w_at[k], w_at[k + 1])
             out.append((key[0], r, _packed(f[0].astype("<u4")) + _packed(f[1].astype("<u8")),
                         b"".join(_packed(x.astype("<u4")) for x in f[2:]),
                         _packed(words[w].astype("<u4")) + _packed(after[w].astype("<u4")), 0, 0, 0, 0))
@@ -274,13 +284,13 @@ def _merge_pairs(root: str):
     return run
 
 
-def _merge_words(root: str, size: int):
+def _merge_words(root: str, size: int, span: int):
     """One range of word numbers (the start's is the last): writes their
     statistics, gives out counts of continuation counts."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        low = int(key[0]) * WORD_RANGE
-        length = min(WORD_RANGE, size + 1 - low)
+        low = int(key[0]) * span
+        length = min(span, size + 1 - low)
         total, ways, after = np.zeros(length, np.int64), np.zeros((3, length), np.int64), np.zeros(length, np.int64)
         for followed, way, came in zip(rows["followed"], rows["ways"], rows["after"]):
             n = len(followed) // 12
@@ -313,9 +323,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float,
 class Model:
     """What scoring needs beside the files."""
 
-    def __init__(self, root: str, shards: list, buckets: int, tokens: int, high: tuple, low: tuple, uniform: float,
-                 pairs: int) -> None:
-        self.root, self.shards, self.buckets, self.tokens = root, shards, buckets, tokens
+    def __init__(self, root: str, shards: list, buckets: int, span: int, tokens: int, high: tuple, low: tuple,
+                 uniform: float, pairs: int) -> None:
+        self.root, self.shards, self.buckets, self.span, self.tokens = root, shards, buckets, span, tokens
         self.high, self.low, self.uniform, self.pairs = high, low, uniform, pairs
         self.size = sum(s[2] for s in shards)
 
@@ -335,10 +345,10 @@ class Model:
         stats = np.zeros((5, len(numbers)), np.int64)
         known = np.flatnonzero(numbers >= 0)
         known = known[np.argsort(numbers[known], kind="stable")]
-        ranges = numbers[known] // WORD_RANGE
+        ranges = numbers[known] // self.span
         for r in np.unique(ranges):
             some = known[ranges == r]
-            stats[:, some] = words.files.get(f"stats-{r}", np.int64).reshape(5, -1)[:, numbers[some] - r * WORD_RANGE]
+            stats[:, some] = words.files.get(f"stats-{r}", np.int64).reshape(5, -1)[:, numbers[some] - r * self.span]
         total, *ways, after = stats
         gamma = sum(d * w for d, w in zip(self.high[1:], ways))
         first = np.maximum(after - np.take(self.low, np.minimum(after, 3)), 0) / self.pairs + self.uniform
@@ -379,18 +389,19 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     if size > 2 ** 32 - 2:
         raise ValueError(f"{size} distinct words; word numbers have 32 bits")
     buckets = max(LEAST_BUCKETS, math.ceil(tokens / BUCKET_TOKENS))
+    span = max(LEAST_RANGE, math.ceil((size + 1) / buckets))  # as many ranges of words as buckets of pairs
     none = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("pairs"),
                                        F.lit(b"").alias("counts"))  # so that every bucket gets its files
     said = stored(
         texts.mapInPandas(_count_pairs(root, shards, buckets), "bucket int, pairs binary, counts binary")
-        .unionByName(none).groupBy("bucket").applyInPandas(_merge_pairs(root), _STATS), "kneser-ney-stats")
+        .unionByName(none).groupBy("bucket").applyInPandas(_merge_pairs(root, span), _STATS), "kneser-ney-stats")
     high = said.where("word_range < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4")]).first()
     low = (said.where("word_range >= 0").groupBy("word_range")
-           .applyInPandas(_merge_words(root, size), "n1 long, n2 long, n3 long, n4 long, n3plus long, pairs long")
+           .applyInPandas(_merge_words(root, size, span), "n1 long, n2 long, n3 long, n4 long, n3plus long, pairs long")
            .agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "n3plus", "pairs")]).first())
     d_low = discounts(*low[:4])
     left = d_low[1] * low[0] + d_low[2] * low[1] + d_low[3] * low[4]
-    return Model(root, shards, buckets, tokens, discounts(*high), d_low,
+    return Model(root, shards, buckets, span, tokens, discounts(*high), d_low,
                  left / max(low[5], 1) / (size + 1), max(low[5], 1))
 
 
