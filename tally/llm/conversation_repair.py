@@ -307,3 +307,87 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS],
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def _oracle_sql() -> str:
+    """DuckDB: the cheapest repair by dynamic programming over the letters a
+    sentence can stand at (e: nothing yet, s: system, u: user, a: a full pair).
+    A value is the cost in eight digits and the audit, so the least text is
+    the least (cost, audit)."""
+    def plus(value: str, cost: str, edit: str) -> str:
+        return f"lpad((left({value}, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({value}, 9) || '{edit}'"
+
+    def step(edit: str, cost: str, e: str, s: str, u: str, a: str) -> str:
+        sources = {"s": e, "u": u, "a": a}
+        return ", ".join(f"least({', '.join(plus(x, cost, edit) for x in sources[k].split())}) AS {edit.lower()}_{k}"
+                         for k in "sua" if sources[k])
+
+    insert = lambda *of: ", ".join(plus(x, str(INSERT), "I") for x in of)
+    kept = f"{KEEP} + {TRUNCATED} * truncated"
+    rerole = f"{REROLE} + {TRUNCATED} * truncated"
+    legal = ", ".join(f"'{x}'" for x in LEGAL)
+    space = " || ".join(f"chr({ord(c)})" for c in SPACE)
+    crc = """xor(4294967295, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(string_split(named, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                      lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+    return f"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS named FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END))
+  FROM (SELECT *, {crc} % 20 AS kind FROM given) WHERE kind <> 0),
+seen AS (
+  SELECT *, rtrim(text, {space}) AS solid,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS repeated FROM damaged),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, repeated) AS place,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, repeated) AS before
+  FROM seen),
+judged AS (
+  SELECT *, (solid = '')::INT AS blank, (solid <> '' AND repeated)::INT AS duplicate,
+         (solid <> '' AND NOT repeated AND right(solid, 1) NOT IN ('.', '!', '?'))::INT AS truncated,
+         (before IS NOT NULL AND before || left(role, 1) NOT IN ({legal}))::INT AS illegal FROM numbered),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank) AS blank,
+         sum(duplicate) AS duplicate, sum(truncated) AS truncated, sum(illegal) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id),
+parse AS (
+  SELECT conv_id, 0 AS k, '00000000' AS e, NULL::VARCHAR AS s, '00000002I' AS u, '00000004II' AS a FROM counted
+  UNION ALL
+  SELECT conv_id, k, e, s, least(u, {insert('a')}) AS u, a FROM (
+    SELECT conv_id, k, e, s, u, least(a, {insert('u')}) AS a FROM (
+      SELECT conv_id, k, e, s, least(u, {insert('e', 's', 'a')}) AS u, a FROM (
+        SELECT conv_id, k, d_e AS e, least(d_s, CASE WHEN alive AND left(role, 1) = 's' THEN k_s END) AS s,
+               least(d_u, CASE WHEN alive AND left(role, 1) = 'u' THEN k_u END, CASE WHEN alive THEN r_u END) AS u,
+               least(d_a, CASE WHEN alive AND left(role, 1) = 'a' THEN k_a END, CASE WHEN alive THEN r_a END) AS a
+        FROM (SELECT p.conv_id, k + 1 AS k, role, blank + duplicate = 0 AS alive,
+                     {', '.join(f"{plus(x, str(DELETE), 'D')} AS d_{x}" for x in 'esua')},
+                     {step('K', kept, 'e', 's', 'e s a', 'u')}, {step('R', rerole, '', '', 'e s a', 'u')}
+              FROM parse p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND place = k + 1))))),
+best AS (
+  SELECT c.*, left(least(e, a), 8)::INT AS cost, substr(least(e, a), 9) AS audit
+  FROM counted c JOIN parse p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND k = n),
+edits AS (
+  SELECT conv_id, i, audit[i] AS edit,
+         sum((audit[i] <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY i) AS place,
+         sum((audit[i] <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY i) AS out_place
+  FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS i FROM best)),
+placed AS (
+  SELECT e.*, CASE WHEN edit <> 'I' THEN role END AS role, CASE WHEN edit <> 'I' THEN text ELSE '' END AS text
+  FROM edits e LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM e.conv_id AND j.place = e.place WHERE edit <> 'D'),
+opened AS (
+  SELECT *, max((out_place = 1 AND edit = 'K' AND left(role, 1) = 's')::INT) OVER (PARTITION BY conv_id) AS opens FROM placed),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out_place - opens) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                             || ':' || text, chr(10) ORDER BY out_place) AS repaired FROM opened GROUP BY conv_id)
+SELECT o.conv_id, {', '.join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in COUNTS)}, coalesce(audit, '') AS audit,
+       sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+ORACLE_SQL = _oracle_sql()

@@ -422,4 +422,43 @@ def trie(conversations: DataFrame, **size: int) -> DataFrame:
 
 
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie(documents(spark, sf_dir, "conversations"))
+    return trie(documents(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
+#: DuckDB: nodes as lists of turns; CRC-32 by its bits.
+ORACLE_SQL = """
+WITH turns AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+         xor(4294967295, list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                         lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM turns),
+rebuilt AS (
+  SELECT c.conv_id, pos, said FROM convs c JOIN turns t ON t.conv_id = c.base WHERE pos <= h
+  UNION ALL SELECT conv_id, pos, said FROM convs JOIN turns USING (conv_id) WHERE pos > h),
+whole AS (
+  SELECT conv_id, coalesce(list(said ORDER BY pos) FILTER (said IS NOT NULL), []) AS path
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+steps AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM whole),
+nodes AS (
+  SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256
+  FROM steps GROUP BY ALL),
+children AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+upward AS (SELECT node, depth, n_convs, n_children, unnest(range(0, depth + 1)) AS top FROM counted),
+below AS (
+  SELECT node[1:top] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+         sum(CASE WHEN depth > 0 THEN (n_convs - 1) * length(node[depth].text) ELSE 0 END) AS saved_tokens
+  FROM upward GROUP BY ALL)
+SELECT c.conv_id, c.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, c.ends_sha256,
+FROM counted c JOIN below USING (node)
+LEFT JOIN nodes up ON c.depth > 0 AND up.node = c.node[1:c.depth - 1]
+"""

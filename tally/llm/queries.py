@@ -24,4 +24,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op7_url_filter": url_filter.ORACLE_SQL,
+    "op11_suffix_dedup": suffix_array.ORACLE_SQL,
+    "op12_conversation_trie": conversation_trie.ORACLE_SQL,
+    "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,8 +105,14 @@ def test_layouts_grow_and_paths_split():
 def test_trie_query(spark):
     import __spark_entry__ as e
     rows = [tuple(r) for r in documents(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
-    out = e.queries()["op12_conversation_trie"](spark, SF).select(COLUMNS).collect()
-    assert collections.Counter(map(tuple, out)) == plain_trie(rows)
+    out = e.queries()["op12_conversation_trie"](spark, SF)
+    assert set(out.columns) == set(COLUMNS)
+    want = plain_trie(rows)
+    assert collections.Counter(map(tuple, out.select(COLUMNS).collect())) == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    told = con.sql(e.oracle_sql()["op12_conversation_trie"])
+    assert collections.Counter(told.select(*COLUMNS).fetchall()) == want
 
 
 # ------------------------------------------------------------------- repair
@@ -267,6 +274,14 @@ def test_repair(spark):
     assert {c: tuple(v) for c, v in lines.items()} == {c: v[-1] for c, v in want.items() if v[-1]}
 
 
+def test_sql_repairs_the_messy_rows():
+    rows = [r for r in messy() if r[0] != 999]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {r[0]: r for r in con.sql(repair.ORACLE_SQL).fetchall()} == {c: v[:-1] for c, v in plain_repair(rows).items()}
+
+
 def test_repair_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert repair.repair(empty).count() == 0 and repair.repaired_turns(empty).count() == 0
@@ -278,6 +293,10 @@ def test_repair_query(spark, tmp_path):
     out = e.queries()["op13_conversation_repair"](spark, SF)
     assert out.columns == ["conv_id", *repair.COUNTS, "audit", "repaired_sha256"]
     assert {r.conv_id: tuple(r) for r in out.collect()} == {c: v[:-1] for c, v in plain_repair(rows).items()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    told = con.sql(e.oracle_sql()["op13_conversation_repair"])
+    assert told.columns == out.columns and {r[0]: r for r in told.fetchall()} == {r.conv_id: tuple(r) for r in out.collect()}
     lost = [(c, t, "user", "x.") for c in range(400) for t in range(1)]
     spark.createDataFrame(lost, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: tuple(r) for r in repair.op13_conversation_repair(spark, str(tmp_path)).collect()}
