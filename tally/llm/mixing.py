@@ -2,7 +2,7 @@
 
 Every source gets a target number of words; a document's expected copies are
 its source's target over the source's size.  Within a source the documents
-stand in the order (size, seeded hash of the id); the prefix sums of expected
+stand in the order (size, seeded hash of the id, hash of the text); the prefix sums of expected
 copies plus one random offset a source cross integer boundaries, and each
 crossing emits the document once.  Because the order goes by size, what a
 source takes stays within about one longest document of its target.
@@ -13,7 +13,9 @@ row a distinct size and source), and the rows of one such cell alone are
 numbered in a window.  A source, a size or a group of copies with a third of
 all rows is spread over its sizes and hash cells: 256 for each size, and as
 many more as hold its cells to about ``CELL_ROWS`` rows (the order, hence the
-result, is the same for any number of cells).
+result, is the same for any number of cells).  Rows that share even the id
+are told apart by their texts, and repeated rows, which are interchangeable,
+by the partition they are stored in then, so none of them is one task's load.
 
 Defined results: null text is empty (size 0, taken 0); null source is a
 source of its own, last in order; a null id hashes as the empty string; rows
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tally.llm.shared import cut, fresh, word_count
+from tally.llm.shared import cut, fresh, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -81,10 +83,11 @@ def offset(seed: str, key: Column) -> Column:
 
 
 def _finer(cells: DataFrame, by: list[str], digits: str) -> DataFrame:
-    """``by, digits``: hash digits that the sizes with a cell above ``CELL_ROWS``
-    need; no more than one row for each ``CELL_ROWS`` rows of the input."""
+    """``_of`` (the struct of ``by``), ``digits``: hash digits that the sizes with
+    a cell above ``CELL_ROWS`` need; no more than one row for each ``CELL_ROWS`` rows of the input."""
     return (cells.groupBy(*by).agg(F.max("n").alias("n")).where(F.col("n") > CELL_ROWS)
-            .select(*by, (F.lit(CELL_DIGITS) + F.ceil(F.log2(F.col("n") / CELL_ROWS) / 4)).cast("int").alias(digits)))
+            .select(F.struct(*by).alias("_of"),
+                    (F.lit(CELL_DIGITS) + F.ceil(F.log2(F.col("n") / CELL_ROWS) / 4)).cast("int").alias(digits)))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED,
@@ -95,21 +98,30 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MA
     ``weights`` are positive whole numbers.  ``copies`` says how often the mix
     takes the row; see :func:`mixed_rows` for the emitted rows themselves.
     """
-    names = fresh(docs, "size", "source_size", "target", "copies", "source_key", "hash", "tie", "cell", "rank",
-                  "start", "rate", "offset", "digits")
-    size, source_size, target, copies, skey, hashed, tie, cell, rank, start, rate, off, digits = names
+    names = fresh(docs, "size", "source_size", "target", "copies", "source_key", "hash", "part", "cell", "rank",
+                  "start", "rate", "offset", "digits", "of")
+    size, source_size, target, copies, skey, hashed, part, cell, rank, start, rate, off, digits, of = names
     keyed = (
         docs.withColumn(size, word_count(F.col(text_col)))
         .withColumn(skey, source_key(F.col(source_col)))
-        .withColumn(hashed, F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
-        .withColumn(cell, F.substring(hashed, 1, CELL_DIGITS))
-        .withColumn(tie, F.xxhash64(F.col(text_col))))
-    cells = cut(keyed.groupBy(skey, size, cell).agg(F.count("*").alias("n")))
-    finer = _finer(cells, [skey, size], digits)
+        .withColumn(hashed, F.concat(
+            F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
+            F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+        .withColumn(cell, F.substring(hashed, 1, CELL_DIGITS)))
+    count = lambda: cut(keyed.groupBy(skey, size, cell).agg(F.count("*").alias("n")))
+    cells = count()
+    finer = _finer(cells, [skey, size], digits).withColumnRenamed("_of", of)
     if not finer.isEmpty():
-        keyed = keyed.join(F.broadcast(finer), [skey, size], "left").withColumn(
-            cell, F.substring(hashed, F.lit(1), F.coalesce(F.col(digits), F.lit(CELL_DIGITS))))
-        cells = cut(keyed.groupBy(skey, size, cell).agg(F.count("*").alias("n")))
+        # A join on the struct: both sides get a shuffle of their own, which Spark can split.
+        keyed = keyed.join(finer, F.struct(skey, size) == F.col(of), "left").withColumn(
+            cell, F.substring(hashed, F.lit(1), F.coalesce(F.col(digits), F.lit(CELL_DIGITS)))).drop(of, digits)
+        cells = count()
+        stuck = cells.where(F.col("n") > 2 * CELL_ROWS).select(F.struct(skey, size, cell).alias(of))
+        if not stuck.isEmpty():  # equal ids; stored, so that a row's partition is the same in every later run
+            keyed = stored(keyed.withColumn(part, F.lpad(F.spark_partition_id().cast("string"), 10, "0")), "mixing")
+            keyed = keyed.join(stuck, F.struct(skey, size, cell) == F.col(of), "left").withColumn(
+                cell, F.when(F.col(of).isNull(), F.col(cell)).otherwise(F.concat(hashed, part))).drop(of)
+            cells = count()
     sized = cells.groupBy(skey, size).agg(F.sum("n").alias("n"))
     sources = targets(
         sized.groupBy(F.col(skey).alias("source_key")).agg(F.sum(F.col(size) * F.col("n")).alias("source_size")),
@@ -128,7 +140,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MA
         .select(skey, size, cell, (F.col("size_start") + F.col("cell_start")).alias(start),
                 source_size, target, rate, off))
     numbered = keyed.withColumn(rank, F.row_number().over(
-        W.partitionBy(skey, size, cell).orderBy(hashed, F.col(id_col), tie)))
+        W.partitionBy(skey, size, cell).orderBy(hashed)))
     place = F.col(start) + F.col(rank)
     crossed = (F.floor(place * F.col(rate) + F.col(off)) - F.floor((place - 1) * F.col(rate) + F.col(off)))
     out = numbered.join(plan, [skey, size, cell]).withColumn(copies, crossed.cast("long"))

@@ -103,6 +103,20 @@ def test_mix_is_the_same_in_finer_cells(spark, docs, monkeypatch):
             assert rows_of(mixing.mix(frame)[0]) == whole
 
 
+def test_mix_spreads_repeated_rows(spark, monkeypatch):
+    rows = spark.range(2000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("two words").alias("text"), F.lit("s").alias("source"))
+    rows = rows.repartition(8)
+    whole = rows_of(mixing.mix(rows)[0])
+    counted = []
+    cut = mixing.cut
+    monkeypatch.setattr(mixing, "CELL_ROWS", 40)
+    monkeypatch.setattr(mixing, "cut", lambda df: counted.append(cut(df)) or counted[-1])
+    assert rows_of(mixing.mix(rows)[0]) == whole
+    largest = [c.agg(F.max("n")).first()[0] for c in counted]
+    assert largest[0] > largest[-2] >= 667 and largest[-1] < 200, largest  # 667 rows without id, in 8 partitions
+
+
 def test_shards(spark, docs, nothing, tmp_path):
     for buckets in (16 << 20, 40_000):
         out = sharding.shard(docs, 5, bucket_bytes=buckets)
@@ -175,6 +189,19 @@ def test_pieces(docs, nothing):
     assert sentencepiece.with_pieces(nothing, path).count() == 0
 
 
+def test_ranks_become_log_scores():
+    path = public_tokenizers.path(sentencepiece.MODEL)
+    c = sentencepiece.codec(path)
+    plain = {p: s for p, s, kind in c.pieces if kind == 1}
+    assert math.fsum(map(math.exp, plain.values())) == pytest.approx(1)
+    assert plain["\u2581t"] > plain["in"] > plain["\u2581the"] > plain["\u2581\u2581"]
+    for word in ("the", "understanding", "city"):
+        assert [c.pieces[i][0] for i in c.encode(word)] == ["\u2581" + word]
+    unigram = [("a", -1.5, 1), ("<0x00>", 0.0, 6)]
+    assert sentencepiece.log_scores([("a", -3.0, 1), ("b", -3.0, 1), ("<s>", 0.0, 3)])[0][1] == pytest.approx(math.log(.5))
+    assert sentencepiece.Codec(unigram).scores == [-1.5, 0.0]
+
+
 def test_token_counts(docs, nothing):
     from tokenizers import Tokenizer
     path = public_tokenizers.path(token_count.TOKENIZER)
@@ -380,6 +407,26 @@ def test_nearest_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_exact_setting_and_recall_beyond_rerank(spark):
+    sf = "/root/testdata/sf0.01"
+    frame = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = sorted(map(tuple, frame.select("vec_id", "embedding").collect()))
+    want = {q: [v for v, _ in near] for q, near in exact(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))}
+    asked = frame.where("vec_id % 50 = 0")
+
+    def found(**how):
+        got = collections.defaultdict(list)
+        for r in nearest.search(frame, asked, **how).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        return got
+
+    assert found(posts=1, probe_share=1, rerank=len(rows)) == want
+    # Files of about 60 vectors, of which the footrule picks 32 to rerank: here the ranking itself is tested.
+    few, none = found(rerank=32), found(rerank=1, posts=1, probe_share=64)
+    recall = lambda got: sum(len(set(got[q]) & set(w)) for q, w in want.items()) / sum(map(len, want.values()))
+    assert recall(few) >= 0.9 > recall(none)
+
+
 def test_nearest_edges(spark):
     v = [1.0, 2.0, 0.5]
     rows = [(i, v) for i in range(0, 120)] + [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, float("nan"), 0.0]),
