@@ -72,3 +72,37 @@ def test_an_order_larger_than_its_bucket_is_refused(spark):
     with pytest.raises(ValueError, match="150000 of 300000"):
         buckets._check_even(lines, "sales_order_item", "parent", 100)
     buckets._check_even(lines, "sales_order_item", "parent", 3)
+
+
+def test_every_table_is_made_once(spark, tmp_path):
+    g = golden_tables(spark)
+    seen = {name: spark.sparkContext.accumulator(0) for name in buckets.BUCKET_BY}
+
+    def counted(name):
+        df, tally = getattr(g, name), seen[name]
+
+        def look(_):
+            tally.add(1)
+            return True
+        return df.where(F.udf(look, "boolean").asNondeterministic()(F.col(df.columns[0])))
+
+    name = f"b_{uuid.uuid4().hex}"
+    buckets.write_buckets(g.replace(**{x: counted(x) for x in seen}), name, 4, f"file://{tmp_path}")
+    try:
+        rows = {x: getattr(g, x).count() for x in seen}
+        assert {x: a.value for x, a in seen.items()} == rows
+        assert {x: spark.table(f"{name}.{x}").count() for x in seen} == rows
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_a_refused_table_is_not_kept(spark, tmp_path):
+    g = golden_tables(spark)
+    one = g.sales_order_item.limit(1).crossJoin(spark.range(120_001)).withColumn("name", F.concat("name", F.col("id"))).drop("id")
+    name = f"b_{uuid.uuid4().hex}"
+    try:
+        with pytest.raises(ValueError, match="120001 of 120001"):
+            buckets.write_buckets(g.replace(sales_order_item=one), name, 4, f"file://{tmp_path}")
+        assert not spark.catalog.tableExists(f"{name}.sales_order_item")
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
