@@ -441,6 +441,42 @@ def test_nearest_edges(spark):
     assert [tuple(r)[:3] for r in nearest.search(two, two).orderBy("query_id").collect()] == [(0, 1, 1), (1, 1, 0)]
 
 
+def test_nearest_work_grows_slower_than_the_pairs(spark):
+    def ranked(n):  # rows ranked for a query
+        pivots = nearest.wanted_pivots(n)
+        posts, probes = nearest.files_met(pivots)
+        return n * posts * probes / pivots
+
+    assert all(ranked(n) <= n for n in (1, 64, 500, 10_256, 51_282, 10**6))  # never more than an exhaustive search
+    assert ranked(4_000_000) <= ranked(1_000_000) * 4**0.76 and ranked(4_000_000) < 0.4 * 4_000_000
+
+    # Files of about 190 vectors and up, more than the footrule picks of them; a third of the rows is one vector.
+    x = np.random.default_rng(5).standard_normal((18_000, 16)).astype(np.float32)
+    x[2::3] = x[2]
+    ids = np.arange(len(x))
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in nearest.search(frame, frame.where("vec_id % 150 < 2"), rerank=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = total = 0
+    double = x.astype(float)
+    norm = np.sqrt((double * double).sum(axis=1))
+    for i in ids[ids % 150 < 2]:
+        score = (double * double[i]).sum(axis=1) / (norm * norm[i])
+        want = [j for j in np.lexsort((ids, -score)) if j != i][:5]
+        assert [s for _, s in got[i]] == pytest.approx([score[j] for j, _ in got[i]], abs=1e-12)
+        hits, total = hits + len(set(want) & {j for j, _ in got[i]}), total + 5
+    assert total == 5 * 240 and hits / total >= 0.9
+
+
+def test_nearest_repeated_ids_leave_room_for_others(spark):
+    rows = [(i // 40, [1.0, 0.001 * i]) for i in range(400)]  # every id 40 times
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.search(frame, frame.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(j, j) for j in range(1, 6)]
+    assert [r.score for r in got] == pytest.approx([1 / math.hypot(1, 0.04 * j) for j in range(1, 6)], abs=1e-12)
+
+
 # ------------------------------------------------------------------ op10
 
 
