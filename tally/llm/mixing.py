@@ -38,6 +38,7 @@ MAX_REPEATS = 3
 SEED = "mix-1"
 CELL_ROWS = 1 << 20
 CELL_DIGITS = 2  # hex digits of the hash that make a cell, where no cell is above CELL_ROWS
+PARTS_A_FILE = 8  # shuffle partitions whose counts make a checkpoint file; without Hadoop's native library a file starts a process
 _OFFSET_HEX = 5  # the offset is a multiple of 16**-5, so prefix sums stay exact in doubles
 
 
@@ -108,10 +109,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MA
             F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
             F.md5(F.coalesce(F.col(text_col), F.lit("")))))
         .withColumn(cell, F.substring(hashed, 1, CELL_DIGITS)))
-    count = lambda: cut(keyed.groupBy(skey, size, cell).agg(F.count("*").alias("n")))
+    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PARTS_A_FILE)
+    count = lambda: cut(keyed.groupBy(skey, size, cell).agg(F.count("*").alias("n")).coalesce(files))
     cells = count()
-    finer = _finer(cells, [skey, size], digits).withColumnRenamed("_of", of)
-    if not finer.isEmpty():
+    if (cells.agg(F.max("n")).first()[0] or 0) > CELL_ROWS:
+        finer = _finer(cells, [skey, size], digits).withColumnRenamed("_of", of)
         # A join on the struct: both sides get a shuffle of their own, which Spark can split.
         keyed = keyed.join(finer, F.struct(skey, size) == F.col(of), "left").withColumn(
             cell, F.substring(hashed, F.lit(1), F.coalesce(F.col(digits), F.lit(CELL_DIGITS)))).drop(of, digits)

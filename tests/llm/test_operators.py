@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tally.llm import (fingerprints, kneser_ney, mixing, nearest, sentencepiece, sharding, simhash, token_count,
                        toxicity, url_filter)
+from tally.llm.shared import word_count
 
 import public_tokenizers
 
@@ -117,6 +118,29 @@ def test_mix_spreads_repeated_rows(spark, monkeypatch):
     assert largest[0] > largest[-2] >= 667 and largest[-1] < 200, largest  # 667 rows without id, in 8 partitions
 
 
+def test_words_are_counted_without_lists(spark, docs):
+    texts = ["w ", "ww w", " w", " \n", "\x1c a \x85", "\u00a0", "a\x0b\x0c\rb", "$1 \\ \\w $", "😀 😀😀", "\x00 \x00"]
+    odd = docs.select("text").union(spark.createDataFrame([(t,) for t in texts], "text string"))
+    counted = odd.select("text", word_count(F.col("text")).alias("n"))
+    assert "regexp_extract_all" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert all(r.n == len(words(r.text)) for r in counted.collect())
+
+
+def test_mix_keeps_counts_in_few_files(spark, docs, monkeypatch):
+    whole, kept, cut = rows_of(mixing.mix(docs)[0]), [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    many = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        assert rows_of(mixing.mix(docs)[0]) == whole
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [c.rdd.getNumPartitions() for c in kept] == [4]
+
+
 def test_shards(spark, docs, nothing, tmp_path):
     for buckets in (16 << 20, 40_000):
         out = sharding.shard(docs, 5, bucket_bytes=buckets)
